@@ -78,7 +78,7 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest(
-    df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 32, share: float = 1.0, data_block: int = 8192, query_block: int = 16384
+    df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 32, share: float = 1.5, data_block: int = 8192, query_block: int = 16384
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows marked by ``is_query`` against all rows."""
 
