@@ -1,4 +1,4 @@
-"""Registry of the queries over the reference tables and of their SQL."""
+"""Registry of the queries over the driver's tables and of their SQL."""
 
 from __future__ import annotations
 
@@ -8,13 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "slice_orthology"
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from helixlake.plans import q_intervals, q_relational, q_scalar, q_vectors  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
