@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import bucketed, materialize
 from .textops import Block, encoded, gram_hashes, in_blocks, sliding_min
 
 ROW = 32  # suffixes in a row of a run
@@ -226,6 +226,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, gram:
         .groupBy("k1", "k2")
         .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     )
+    folded = bucketed(folded, ["k1", "k2"], "folded")  # read three times, moved once
     anchors = materialize(folded.mapInArrow(_anchors(window, gram), "part long, k1 long, k2 long, w byte"), "anchors")
     parts = anchors.groupBy("part").agg(F.sum("w").alias("leaves"), F.count(F.lit(1)).alias("runs")).where("leaves > 1")
     wanted = anchors.join(parts, "part").groupBy("k1", "k2").agg(
