@@ -25,6 +25,7 @@ import numpy as np
 import regex
 
 MEMO_WORDS, MEMO_LENGTH = 300_000, 48
+ID_BITS, PLACE_BITS = 17, 26  # a queue entry is one integer: rank, merged id, position
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split cuts at these, the vocabulary's splitter does not
 
@@ -64,10 +65,12 @@ class WordBpe:
         self.strings = {i: s for s, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings |= {i: s for s, i in self.special.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # pair of ids -> rank and merged id
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if not isinstance(pair, str) else pair.split(" ")
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.merges.setdefault(self.vocab[a] << ID_BITS | self.vocab[b], rank << ID_BITS | self.vocab[a + b])
+        self.packed = {i: np.uint32(i).astype("<u4").tobytes() for i in self.strings}
+        self.coded = {i: x.encode() for i, x in self.strings.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
         stand = byte_alphabet()
@@ -80,48 +83,57 @@ class WordBpe:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge symbols by rank with a heap over a doubly linked list."""
-        n = len(ids)
-        if n < 2:
-            return ids
-        merges, after, before = self.merges, list(range(1, n + 1)), list(range(-1, n - 1))
+        n, get = len(ids), self.merges.get
         queue = []
         for i in range(n - 1):
-            hit = merges.get((ids[i], ids[i + 1]))
-            if hit:
-                queue.append((hit[0], i, ids[i], ids[i + 1], hit[1]))
+            hit = get(ids[i] << ID_BITS | ids[i + 1])
+            if hit is not None:
+                queue.append(hit << PLACE_BITS | i)
+        if not queue:
+            return ids
         heapq.heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pop, push, place, id_mask = heapq.heappop, heapq.heappush, (1 << PLACE_BITS) - 1, (1 << ID_BITS) - 1
         while queue:
-            _, i, a, b, joined = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            entry = pop(queue)
+            i, what = entry & place, entry >> PLACE_BITS
+            a, j = ids[i], after[i]
+            if a < 0 or j >= n or get(a << ID_BITS | ids[j]) != what:
                 continue  # stale: one of the two symbols has been merged since
-            ids[i], ids[j] = joined, -1
+            joined = ids[i] = what & id_mask
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                hit = merges.get((joined, ids[k]))
-                if hit:
-                    heapq.heappush(queue, (hit[0], i, joined, ids[k], hit[1]))
+                hit = get(joined << ID_BITS | ids[k])
+                if hit is not None:
+                    push(queue, hit << PLACE_BITS | i)
             h = before[i]
             if h >= 0:
-                hit = merges.get((ids[h], joined))
-                if hit:
-                    heapq.heappush(queue, (hit[0], h, ids[h], joined, hit[1]))
+                hit = get(ids[h] << ID_BITS | joined)
+                if hit is not None:
+                    push(queue, hit << PLACE_BITS | h)
         return [x for x in ids if x >= 0]
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> tuple[bytes, bytes]:
         data, inner = piece.encode(), self.inner
         ids = [inner[b] for b in data[:-1]]
         ids.append(self.final[data[-1]])
-        return self.merge([x for x in ids if x is not None])
+        ids = self.merge([x for x in ids if x is not None] if None in ids else ids)
+        packed, coded = self.packed, self.coded
+        return b"".join([packed[i] for i in ids]), b" ".join([coded[i] for i in ids])
 
     def _cut(self, cut: str) -> tuple[bytes, bytes]:
         """Packed ids and the joined vocabulary strings of a text without white space."""
-        text = unicodedata.normalize("NFC", cut).replace("Σ", "σ").lower()
-        memo, ids = self.piece_memo, []
-        for piece in self.pieces(text):
-            ids += memo[piece]
-        return np.array(ids, dtype="<u4").tobytes(), " ".join([self.strings[i] for i in ids]).encode()
+        text = cut.lower() if cut.isascii() else unicodedata.normalize("NFC", cut).replace("Σ", "σ").lower()
+        memo = self.piece_memo
+        if text.isalpha():
+            return memo[text]
+        if text[-1] in ".," and text[:-1].isalpha():  # the two pieces that the splitter would give
+            (a, x), (b, y) = memo[text[:-1]], memo[text[-1]]
+            return a + b, x + b" " + y
+        found = [memo[piece] for piece in self.pieces(text)]
+        return b"".join([x for x, _ in found]), b" ".join([y for x, y in found if x])
 
     def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
         cuts = _WHITE.split(text) if _SEPARATORS.search(text) else text.split()
