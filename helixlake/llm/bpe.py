@@ -6,7 +6,7 @@ queued are stale and skipped, and a merge queues the two new neighbouring pairs.
 the vocabulary strings of the ids.
 
 White space separates pieces in every rule of the vocabulary's splitter, so a text is cut at white
-space first and each cut is encoded once per worker (a bounded memo of packed ids and strings).
+space first and each cut is encoded once per worker (a bounded memo of packed ids).
 
 Edge cases: null means empty; an empty text has no ids and decodes to ""; a text that spells a
 special token yields its id, as the vocabulary's added tokens do; very long words are merged in
@@ -24,7 +24,7 @@ import unicodedata
 import numpy as np
 import regex
 
-MEMO_WORDS, MEMO_LENGTH = 300_000, 48
+MEMO_WORDS, MEMO_LENGTH = 500_000, 48
 ID_BITS, PLACE_BITS = 17, 26  # a queue entry is one integer: rank, merged id, position
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split cuts at these, the vocabulary's splitter does not
@@ -40,14 +40,19 @@ def byte_alphabet() -> list[str]:
 
 
 class _Memo(dict):
+    """A bounded memo of two generations: a full one becomes the old one, from which what is still used moves over."""
+
     def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most // 2, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_LENGTH:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -70,7 +75,6 @@ class WordBpe:
             a, b = pair if not isinstance(pair, str) else pair.split(" ")
             self.merges.setdefault(self.vocab[a] << ID_BITS | self.vocab[b], rank << ID_BITS | self.vocab[a + b])
         self.packed = {i: np.uint32(i).astype("<u4").tobytes() for i in self.strings}
-        self.coded = {i: x.encode() for i, x in self.strings.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
         stand = byte_alphabet()
@@ -115,46 +119,45 @@ class WordBpe:
                     push(queue, hit << PLACE_BITS | h)
         return [x for x in ids if x >= 0]
 
-    def _piece(self, piece: str) -> tuple[bytes, bytes]:
+    def _piece(self, piece: str) -> bytes:
         data, inner = piece.encode(), self.inner
         ids = [inner[b] for b in data[:-1]]
         ids.append(self.final[data[-1]])
         ids = self.merge([x for x in ids if x is not None] if None in ids else ids)
-        packed, coded = self.packed, self.coded
-        return b"".join([packed[i] for i in ids]), b" ".join([coded[i] for i in ids])
+        packed = self.packed
+        return b"".join([packed[i] for i in ids])
 
-    def _cut(self, cut: str) -> tuple[bytes, bytes]:
-        """Packed ids and the joined vocabulary strings of a text without white space."""
+    def _cut(self, cut: str) -> bytes:
+        """Packed ids of a text without white space."""
         text = cut.lower() if cut.isascii() else unicodedata.normalize("NFC", cut).replace("Σ", "σ").lower()
         memo = self.piece_memo
         if text.isalpha():
             return memo[text]
         if text[-1] in ".," and text[:-1].isalpha():  # the two pieces that the splitter would give
-            (a, x), (b, y) = memo[text[:-1]], memo[text[-1]]
-            return a + b, x + b" " + y
-        found = [memo[piece] for piece in self.pieces(text)]
-        return b"".join([x for x, _ in found]), b" ".join([y for x, y in found if x])
+            return memo[text[:-1]] + memo[text[-1]]
+        return b"".join([memo[piece] for piece in self.pieces(text)])
 
-    def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
+    def _plain(self, text: str) -> list[bytes]:
         cuts = _WHITE.split(text) if _SEPARATORS.search(text) else text.split()
-        return list(map(self.cut_memo.__getitem__, cuts))
+        return list(map(self.cut_memo.__getitem__, filter(None, cuts)))
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text in UTF-8)."""
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if any(m in text for m in self.marks) and (parts := self.find_special.split(text))[1:]:
             found = []
             for i, part in enumerate(parts):
                 if i % 2:
-                    found.append((np.array([self.special[part]], dtype="<u4").tobytes(), part.encode()))
+                    found.append(self.packed[self.special[part]])
                 else:
                     found += self._plain(part)
         else:
             found = self._plain(text)
-        return b"".join([x for x, _ in found]), b" ".join([y for x, y in found if x])
+        return b"".join(found)
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: bytes) -> str:
+        """The vocabulary strings of packed ids, joined as the library's decoder joins them."""
         strings = self.strings
-        return " ".join([strings[i] for i in ids.tolist() if i in strings])
+        return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist() if i in strings])
 
 
 @functools.lru_cache(maxsize=2)
@@ -180,13 +183,14 @@ def encode_documents(docs, path: str, text: str = "text", with_output: bool = Fa
         for batch in batches:
             count, ids_hash, text_hash, all_ids, all_text = [], [], [], [], []
             for value in batch.column(text):
-                ids, decoded = bpe.encode(value.as_py() or "")
+                ids = bpe.encode(value.as_py() or "")
+                decoded = bpe.decode(ids)
                 count.append(len(ids) // 4)
                 ids_hash.append(hashlib.sha256(ids).hexdigest())
-                text_hash.append(hashlib.sha256(decoded).hexdigest())
+                text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_output:
                     all_ids.append(np.frombuffer(ids, "<u4").astype(np.int64))
-                    all_text.append(decoded.decode())
+                    all_text.append(decoded)
             made_columns = [pa.array(count, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             if with_output:
                 made_columns += [pa.array(all_ids, pa.list_(pa.int64())), pa.array(all_text, pa.string())]

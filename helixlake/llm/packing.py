@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, path: str, id_col: str, text: str, length: int, end_
         for batch in batches:
             source, rows = [], []
             for i, value in enumerate(batch.column(text)):
-                ids = bpe.encode(value.as_py() or "")[0] + end
+                ids = bpe.encode(value.as_py() or "") + end
                 n = len(ids) // 4
                 for at in range(0, n, length):
                     part = ids[4 * at : 4 * (at + length)]

@@ -158,9 +158,9 @@ def test_bpe_matches_the_library(spark, odd, empty):
     b = bpe.load(queries.vocabulary_path())
     for _, text in docs + [(0, "it's 'S ’s don't!!! 12ab½Ⅷ é  x"), (0, "a" * 5000), (0, "<|startoftext|>hi<|endoftext|>")]:
         want = t.encode(text or "", add_special_tokens=False).ids
-        ids, decoded = b.encode(text or "")
+        ids = b.encode(text or "")
         assert np.frombuffer(ids, "<u4").tolist() == want
-        assert decoded.decode() == t.decode(want, skip_special_tokens=False) == b.decode(np.array(want))
+        assert b.decode(ids) == t.decode(want, skip_special_tokens=False)
     got = bpe.encode_documents(odd, queries.vocabulary_path(), with_output=True).collect()
     assert len(got) == odd.count() and bpe.encode_documents(empty, queries.vocabulary_path()).count() == 0
 
