@@ -15,7 +15,9 @@ O(n log n); ties between equal ranks go to the leftmost pair; other columns are
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import heapq
 import json
 import re
@@ -166,6 +168,18 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@contextlib.contextmanager
+def no_cycles():
+    """Encoding makes no reference cycles; looking for them in large memos is wasted time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode_documents(docs, path: str, text: str = "text", with_output: bool = False):
     """All columns of docs but the text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded."""
     import hashlib
@@ -182,15 +196,16 @@ def encode_documents(docs, path: str, text: str = "text", with_output: bool = Fa
         bpe = load(path)
         for batch in batches:
             count, ids_hash, text_hash, all_ids, all_text = [], [], [], [], []
-            for value in batch.column(text):
-                ids = bpe.encode(value.as_py() or "")
-                decoded = bpe.decode(ids)
-                count.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_output:
-                    all_ids.append(np.frombuffer(ids, "<u4").astype(np.int64))
-                    all_text.append(decoded)
+            with no_cycles():
+                for value in batch.column(text):
+                    ids = bpe.encode(value.as_py() or "")
+                    decoded = bpe.decode(ids)
+                    count.append(len(ids) // 4)
+                    ids_hash.append(hashlib.sha256(ids).hexdigest())
+                    text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if with_output:
+                        all_ids.append(np.frombuffer(ids, "<u4").astype(np.int64))
+                        all_text.append(decoded)
             made_columns = [pa.array(count, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             if with_output:
                 made_columns += [pa.array(all_ids, pa.list_(pa.int64())), pa.array(all_text, pa.string())]

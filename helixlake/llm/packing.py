@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import load
+from .bpe import load, no_cycles
 from .store import materialize
 
 PARTS = 64
@@ -41,13 +41,14 @@ def pieces(docs: DataFrame, path: str, id_col: str, text: str, length: int, end_
         bpe, end = load(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             source, rows = [], []
-            for i, value in enumerate(batch.column(text)):
-                ids = bpe.encode(value.as_py() or "") + end
-                n = len(ids) // 4
-                for at in range(0, n, length):
-                    part = ids[4 * at : 4 * (at + length)]
-                    source.append(i)
-                    rows.append((at, len(part) // 4, zlib.crc32(part), n))
+            with no_cycles():
+                for i, value in enumerate(batch.column(text)):
+                    ids = bpe.encode(value.as_py() or "") + end
+                    n = len(ids) // 4
+                    for at in range(0, n, length):
+                        part = ids[4 * at : 4 * (at + length)]
+                        source.append(i)
+                        rows.append((at, len(part) // 4, zlib.crc32(part), n))
             columns = zip(*rows, strict=True) if rows else ([] for _ in made)
             yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(source, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names=[id_col, *made])
 
