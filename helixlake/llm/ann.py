@@ -9,7 +9,7 @@ are reached only as far as the data need, so the depth varies by query and block
 
 Rows of unequal length are reduced to angles by one more coordinate, sqrt(longest^2 - length^2),
 which is zero for queries. Directions come from a fixed seed; nothing is fitted. ``share`` is a
-proportion, so recall does not depend on the number of rows (0.95 measured at the default, README).
+proportion, so recall hardly depends on the number of rows (figures in the README).
 
 Edge cases: null, zero and non-finite vectors take no part; vectors of different dimension never
 meet; rows with the query's id are not its candidates; repeated rows are candidates each; ties go
