@@ -59,8 +59,8 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, balanced: bool
     weight = F.lit(1.0)
     if balanced:
         weight = F.when(F.col(label) == 1, n / (2.0 * counts.get(1, 1))).otherwise(n / (2.0 * counts.get(0, 1)))
-    data = VectorAssembler(inputCols=features, outputCol="x").transform(df).withColumn("w", weight)
-    return LogisticRegression(featuresCol="x", labelCol=label, weightCol="w", regParam=1.0 / (c * n), standardization=False).fit(data)
+    data = VectorAssembler(inputCols=features, outputCol="__features").transform(df).withColumn("__weight", weight)
+    return LogisticRegression(featuresCol="__features", labelCol=label, weightCol="__weight", regParam=1.0 / (c * n), standardization=False).fit(data)
 
 
 def pair_distances(a: DataFrame, b: DataFrame, on: list[str], vector: str = "v") -> DataFrame:
