@@ -350,7 +350,7 @@ def inside_outside(spark, d):
   SELECT chrom, count(*)::BIGINT AS n, count(h.tid)::BIGINT AS hits, round(count(h.tid)*100.0/count(*),6) AS pct FROM tx LEFT JOIN h USING (tid) GROUP BY chrom""")
 def chrom_rates(spark, d):
     t = tx(spark, d)
-    hit = iv.overlap_semi(t, chain(spark, d), ["chrom"]).select("tid", F.lit(1).alias("hit"))
+    hit = iv.overlap_semi(t, chain(spark, d), ["chrom"]).select("tid", F.lit(1).alias("hit")).distinct()  # two transcripts may share a tid
     g = t.join(hit, "tid", "left").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
     return g.withColumn("pct", F.round(F.col("hits") * 100.0 / F.col("n"), 6))
 
@@ -359,7 +359,7 @@ def chrom_rates(spark, d):
   SELECT strand, count(*)::BIGINT AS total, count(h.tid)::BIGINT AS hit, (count(*)-count(h.tid))::BIGINT AS lost, round((count(*)-count(h.tid))*100.0/count(*),6) AS pct FROM tx LEFT JOIN h USING (tid) GROUP BY strand""")
 def loss_by_group(spark, d):
     t = tx(spark, d)
-    hit = iv.overlap_semi(t, chain(spark, d), ["chrom"]).select("tid", F.lit(1).alias("h"))
+    hit = iv.overlap_semi(t, chain(spark, d), ["chrom"]).select("tid", F.lit(1).alias("h")).distinct()  # two transcripts may share a tid
     g = t.join(hit, "tid", "left").groupBy("strand").agg(F.count(F.lit(1)).alias("total"), F.count("h").alias("hit"))
     return g.withColumn("lost", F.col("total") - F.col("hit")).withColumn("pct", F.round(F.col("lost") * 100.0 / F.col("total"), 6))
 
