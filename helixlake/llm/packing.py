@@ -7,7 +7,7 @@
    (the shortest pack) and has room; patterns carry counts and are split when only some of their
    copies take the length. What fits nowhere opens a pattern.
 4. Each piece gets its rank among pieces of its length (two-level: local row numbers in hashed
-   parts plus offsets), and the rank gives pattern, sequence and offset by binary search.
+   parts of about ``PART_ROWS`` rows plus offsets), and the rank gives pattern, sequence and offset by binary search.
 
 A sequence is padded to ``length``; one whose content is a power of two is left as it is. Only
 sequences that no piece could fill are padded, a handful whatever the input.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .bpe import load, no_cycles
 from .store import materialize
 
-PARTS = 64
+PART_ROWS = 1 << 18
 
 
 def pieces(docs: DataFrame, path: str, id_col: str, text: str, length: int, end_id: int) -> DataFrame:
@@ -99,15 +99,17 @@ def _places(patterns: list[tuple[int, tuple[int, ...]]]):
     return tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) if rows else ()
 
 
-def _ranked(table: DataFrame, key: str, *order: str) -> DataFrame:
-    """``rank`` from 0 within ``key`` without bringing a key's rows to one task."""
-    parted = table.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int"))
-    counts = parted.groupBy(key, "__part").count()
-    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order)) - 1
-    # at most PARTS rows for each of the lengths, whatever the input
-    return parted.join(F.broadcast(offsets), [key, "__part"]).withColumn("rank", local + F.col("__before")).drop("__part", "__before")
+def _ranked(table: DataFrame, histogram: dict[int, int], *order: str) -> DataFrame:
+    """``rank`` from 0 within ``length`` without bringing a length's rows to one task."""
+    parts = [-(-histogram.get(n, 0) // PART_ROWS) or 1 for n in range(max(histogram, default=0) + 1)]
+    mine = F.expr(f"array({', '.join(map(str, parts))})[cast(length AS INT)]")
+    parted = table.withColumn("__part", F.pmod(F.xxhash64(*order), mine).cast("int"))
+    counts = parted.groupBy("length", "__part").count()
+    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("length", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    local = F.row_number().over(Window.partitionBy("length", "__part").orderBy(*order)) - 1
+    # bounded: one row per length and one per PART_ROWS pieces (some 50 000 rows for 100 TB of text)
+    return parted.join(F.broadcast(offsets), ["length", "__part"]).withColumn("rank", local + F.col("__before")).drop("__part", "__before")
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 1) -> DataFrame:
@@ -115,7 +117,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     cut = materialize(pieces(docs, path, id_col, text, length, end_id), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``length`` rows
     key, times, first, begin = _places(shortest_pack_first(histogram, length)) or (np.zeros(0, np.int64),) * 4
-    ranked = _ranked(cut, "length", "start", id_col, "ids_crc32")
+    ranked = _ranked(cut, histogram, "start", id_col, "ids_crc32")
 
     def place(batches):
         for batch in batches:
