@@ -77,6 +77,22 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def nearest_rows(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, scores) of the k highest products; equal rows tie wherever they stand.
+
+    A matrix product may round equal rows differently, so it only preselects, with room for its
+    error; the scores that rank are summed row by row.
+    """
+    rough = rows @ query
+    some = np.arange(len(rough))
+    if len(rough) > k:
+        room = 4 * np.finfo(float).eps * rows.shape[1] * np.sqrt(query @ query) * np.sqrt(np.einsum("ij,ij->i", rows, rows).max())
+        some = np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - room)
+    scores = (rows[some] * query).sum(axis=1)
+    at = np.lexsort((ids[some], -scores))[:k]
+    return some[at], scores[at]
+
+
 def nearest(
     df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 32, share: float = 1.5, data_block: int = 8192, query_block: int = 16384
 ) -> DataFrame:
@@ -89,9 +105,8 @@ def nearest(
             ids, rows = right.column("id").to_numpy(), matrix(right.column("v"))
             for q_id, query, some in zip(q_ids, queries, Forest(rows, trees).candidates(queries, max(4 * k, int(share * len(rows)))), strict=True):
                 some = some[ids[some] != q_id]
-                scores = rows[some] @ query
-                at = top(ids[some], scores, k)
-                for to, x in zip(found, (np.full(len(at), q_id), ids[some][at], scores[at]), strict=True):
+                at, scores = nearest_rows(ids[some], rows[some], query, k)
+                for to, x in zip(found, (np.full(len(at), q_id), ids[some][at], scores), strict=True):
                     to.append(x)
         columns = (np.concatenate(x) if x else np.zeros(0) for x in found)
         return pa.table([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])

@@ -105,6 +105,17 @@ def test_forest_recall_and_order(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_equal_rows_tie_wherever_they_stand():
+    rng = np.random.default_rng(5)
+    rows = np.repeat(rng.standard_normal((40, 67)), 9, axis=0)[rng.permutation(360)]
+    query = rng.standard_normal(67)
+    ids = rng.permutation(360)
+    at, scores = ann.nearest_rows(ids, rows, query, 25)
+    exact = (rows * query).sum(axis=1)
+    want = np.lexsort((ids, -exact))[:25]
+    assert list(at) == list(want) and list(scores) == list(exact[want]) and len(set(scores)) == 3
+
+
 def test_exact_top(spark):
     x, df = vectors(spark)
     v = np.floor(256 * x).astype(np.int64)
@@ -183,7 +194,9 @@ def check_packing(rows, docs, length, t):
     return sum(length - n for n in at.values() if n & (n - 1))
 
 
-def test_packing(spark, odd, empty):
+@pytest.mark.parametrize("part_rows", [packing.PART_ROWS, 3])
+def test_packing(spark, odd, empty, part_rows, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", part_rows)
     t = tokenizer()
     check_packing(packing.pack(odd, queries.vocabulary_path()).collect(), pairs(odd), 2048, t)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
