@@ -6,6 +6,7 @@ blocks (``mmd_matrix``) where two groups of windows meet.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -75,15 +76,20 @@ def gamma(pairs: DataFrame, by: list[str], positive_only: bool = False) -> DataF
     return d.groupBy(*by).agg(F.percentile(F.sqrt("d2"), F.lit(0.5)).alias("med")).select(*by, (F.lit(1.0) / (F.lit(2.0) * F.col("med") * F.col("med") + F.lit(1e-10))).alias("gamma"))
 
 
-def mmd2(df: DataFrame, group: str, a, b, id_col: str, vector: str, gamma_value: float) -> DataFrame:
+def mmd2(df: DataFrame, group: str, a, b, id_col: str, vector: str, gamma_value: float, tiles: int = 8) -> DataFrame:
     """Unbiased squared two-sample distance of two groups: within terms leave out the diagonal."""
     x = df.where(F.col(group) == a).select(F.col(id_col).alias("i"), F.col(vector).alias("x"))
     y = df.where(F.col(group) == b).select(F.col(id_col).alias("i"), F.col(vector).alias("x"))
     kernel = F.exp(F.lit(-gamma_value) * squared_distance("l.x", "r.x"))
 
+    def dealt(df, mine, other):
+        at = df.withColumn(mine, F.pmod(F.xxhash64("i"), F.lit(tiles)).cast("int"))
+        return at.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+
     def mean(p, q, diagonal):
-        pairs = p.alias("l").join(q.alias("r"), F.lit(True) if diagonal else F.col("l.i") != F.col("r.i"))
-        return pairs.agg(F.avg(kernel).alias("k"))
+        # each pair meets in the one tile (u, v) of its two rows, so tiles * tiles tasks share the work evenly
+        pairs = dealt(p, "u", "v").alias("l").join(dealt(q, "v", "u").alias("r"), ["u", "v"])
+        return (pairs if diagonal else pairs.where("l.i <> r.i")).agg(F.avg(kernel).alias("k"))
 
     parts = [mean(x, x, False).select(F.col("k").alias("xx")), mean(y, y, False).select(F.col("k").alias("yy")), mean(x, y, True).select(F.col("k").alias("xy"))]
     joined = parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
@@ -140,12 +146,18 @@ def displacement(df: DataFrame, by: list[str], pos: str, vector: str) -> DataFra
     return near.groupBy(*by, pos).agg(F.avg(F.sqrt(squared_distance(vector, "__v"))).alias("shift"))
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _kmer(kmer: str) -> tuple[int, int]:
+    h = hashlib.blake2b(kmer.encode(), digest_size=4).digest()
+    return h[0], 1 if h[1] & 1 else -1
+
+
 def kmer_embedding(seq: str, k: int = 4, width: int = 16) -> list[float]:
     """A deterministic stand-in for model embeddings: signed hashed k-mer frequencies, unit length."""
     v = np.zeros(width)
     for i in range(len(seq) - k + 1):
-        h = hashlib.blake2b(seq[i : i + k].encode(), digest_size=4).digest()
-        v[h[0] % width] += 1 if h[1] & 1 else -1
+        at, sign = _kmer(seq[i : i + k])
+        v[at % width] += sign
     n = np.linalg.norm(v)
     return (v / n if n else v).tolist()
 

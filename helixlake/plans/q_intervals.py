@@ -86,14 +86,15 @@ def proximity(spark, d):
 
 @query(
     "jon8_pairs_with_fallback",
-    views("tx", "chain", "pair") + """, t AS (SELECT * FROM tx WHERE gene IN ('G1','G2','G3','G4','G5','G6','G7')), c AS (SELECT * FROM chain WHERE chain_id<40)
-    SELECT t.tid, c.chain_id FROM t JOIN c ON t.chrom=c.chrom AND t.s<c.e AND c.s<t.e
-    UNION ALL SELECT t.tid, c.chain_id FROM t JOIN c ON t.chrom=c.chrom WHERE NOT EXISTS (SELECT 1 FROM c k WHERE k.chrom=t.chrom AND t.s<k.e AND k.s<t.e)""",
+    views("tx", "chain", "pair") + """, hit AS (SELECT DISTINCT tid, s, e FROM pair)
+    SELECT tid, chain_id FROM pair
+    UNION ALL SELECT t.tid, c.chain_id FROM tx t ANTI JOIN hit USING (tid, s, e) JOIN chain c ON t.chrom=c.chrom AND t.s//5000=c.s//5000""",
 )
 def fallback(spark, d):
-    t, c = tx(spark, d).where(F.col("gene").isin(*(f"G{i}" for i in range(1, 8)))), chain(spark, d).where("chain_id < 40")
+    locus = F.expr("s div 5000").alias("locus")
+    t, c = tx(spark, d), chain(spark, d)
     hit = iv.overlap_join(t, c, ["chrom"]).select("tid", F.col("chain_id_b").alias("chain_id"))
-    return hit.unionByName(iv.overlap_semi(t, c, ["chrom"], anti=True).join(c.select("chrom", "chain_id"), "chrom").select("tid", "chain_id"))
+    return hit.unionByName(iv.overlap_semi(t, c, ["chrom"], anti=True).select("tid", "chrom", locus).join(c.select("chrom", locus, "chain_id"), ["chrom", "locus"]).select("tid", "chain_id"))
 
 
 @query(
@@ -235,9 +236,9 @@ def run_to_genomic(spark, d):
     return tx(spark, d).select("tid", F.when(plus, F.col("s") + 7).otherwise(F.col("e") - 19).alias("g_s"), F.when(plus, F.col("s") + 19).otherwise(F.col("e") - 7).alias("g_e"))
 
 
-@query("int15_covered_locus", views("tx", "chain") + ", b AS (SELECT chrom, min(s) AS lo, max(e) AS hi FROM chain WHERE chain_id<200 GROUP BY 1) SELECT tid FROM tx JOIN b USING (chrom) WHERE s>=lo AND e<=hi")
+@query("int15_covered_locus", views("tx", "chain") + ", b AS (SELECT chrom, min(s) AS lo, max(e) AS hi FROM chain GROUP BY 1) SELECT tid FROM tx JOIN b USING (chrom) WHERE s>=lo AND e<=hi")
 def covered(spark, d):
-    b = chain(spark, d).where("chain_id < 200").groupBy("chrom").agg(F.min("s").alias("lo"), F.max("e").alias("hi"))
+    b = chain(spark, d).groupBy("chrom").agg(F.min("s").alias("lo"), F.max("e").alias("hi"))
     return tx(spark, d).join(F.broadcast(b), "chrom").where("s >= lo and e <= hi").select("tid")  # one row per chromosome
 
 
@@ -283,14 +284,14 @@ def next_overlap(spark, d):
     return wn.next_overlaps(chain(spark, d), ["chrom"]).select("chain_id", "clash")
 
 
-_FEATURES = """, f AS (SELECT tid, any_value(gene) AS gene, chain_id, sum(bp)::BIGINT AS bp, any_value(e-s) AS n, any_value(ce-cs) AS cn FROM pair GROUP BY tid, chain_id),
+_FEATURES = """, f AS (SELECT tid, min(gene) AS gene, chain_id, sum(bp)::BIGINT AS bp, max(e-s) AS n, any_value(ce-cs) AS cn FROM pair GROUP BY tid, chain_id),
   syn AS (SELECT chain_id, count(DISTINCT gene)::BIGINT AS synteny FROM f GROUP BY 1),
   ft AS (SELECT f.tid, f.chain_id, synteny, bp/cn AS gl_exo, n/cn AS exlen_to_qlen, bp/n AS exon_perc, least(1.0, bp/(n+100.0)) AS flank_cov FROM f JOIN syn USING (chain_id))"""
 
 
 def features(spark, d):
     p = iv.overlap_join(tx(spark, d), chain(spark, d), ["chrom"])
-    f = p.groupBy("tid", F.col("chain_id_b").alias("chain_id")).agg(F.first("gene").alias("gene"), F.sum("bp").alias("bp"), F.first(F.col("e") - F.col("s")).alias("n"), F.first(F.col("e_b") - F.col("s_b")).alias("cn"))
+    f = p.groupBy("tid", F.col("chain_id_b").alias("chain_id")).agg(F.min("gene").alias("gene"), F.sum("bp").alias("bp"), F.max(F.col("e") - F.col("s")).alias("n"), F.first(F.col("e_b") - F.col("s_b")).alias("cn"))
     syn = f.groupBy("chain_id").agg(F.countDistinct("gene").alias("synteny"))
     ratio = lambda a, b: F.when(b != 0, a / b).otherwise(0.0)
     return f.join(syn, "chain_id").select(
@@ -338,10 +339,10 @@ def orthology(spark, d):
     return classified(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tid").alias("n_tx"), F.countDistinct("chain_id").alias("n_chain"))
 
 
-@query("agg27_inside_outside", views("tx", "chain", "pair") + """, o AS (SELECT tid, max(bp) AS bp, any_value(e-s) AS n FROM pair GROUP BY tid)
+@query("agg27_inside_outside", views("tx", "chain", "pair") + """, o AS (SELECT tid, max(bp) AS bp, e-s AS n FROM pair GROUP BY tid, s, e)
   SELECT CASE WHEN bp*100.0/n<50 THEN '1-50' WHEN bp*100.0/n<99 THEN '50-99' ELSE '99+' END AS category, count(*)::BIGINT AS n, sum(n-bp)::BIGINT AS outside_bp FROM o GROUP BY 1""")
 def inside_outside(spark, d):
-    o = iv.overlap_join(tx(spark, d), chain(spark, d), ["chrom"]).groupBy("tid").agg(F.max("bp").alias("bp"), F.first(F.col("e") - F.col("s")).alias("len"))
+    o = iv.overlap_join(tx(spark, d), chain(spark, d), ["chrom"]).groupBy("tid", "s", "e").agg(F.max("bp").alias("bp")).withColumn("len", F.col("e") - F.col("s"))
     pct = F.col("bp") * 100.0 / F.col("len")
     return o.groupBy(F.when(pct < 50, "1-50").when(pct < 99, "50-99").otherwise("99+").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("len") - F.col("bp")).alias("outside_bp"))
 

@@ -139,7 +139,7 @@ def spearman(spark, d):
 @query("agg24_decay_classes")
 def decay(spark, d):
     e = table(spark, d, "events")
-    s = an.with_p(an.spearman(e.where("user_id % 50 = 0").select("user_id", "value", F.col("event_id").cast("double").alias("x")), ["user_id"], "x", "value"))
+    s = an.with_p(an.spearman(e.select("user_id", "value", F.col("event_id").cast("double").alias("x")), ["user_id"], "x", "value"))
     ends = e.groupBy("user_id").agg(F.min_by("value", "ts").alias("near"), F.max_by("value", "ts").alias("far"))
     return s.join(ends, "user_id").select("user_id", "n", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"), an.decay_class(F.col("n"), F.col("rho"), F.col("p"), F.col("near") / 100, F.col("far") / 100).alias("kind"))
 

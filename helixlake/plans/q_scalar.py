@@ -55,11 +55,11 @@ def substitution(spark, d):
     return i.select("p_partkey", F.coalesce(F.replace("id", F.col("token"), F.col("p_name")), "id").alias("label"), F.col("p_name").isNotNull().alias("resolved"))
 
 
-_SEQ = "upper(regexp_replace(translate(substring(text,1,256),'eioubdfhjklmnpqrsvwxyz .,','acgtacgtacgtacgtacgtacgtn'),'[^a-zA-Z]','n','g'))"
+_SEQ = "upper(regexp_replace(translate(text,'eioubdfhjklmnpqrsvwxyz .,','acgtacgtacgtacgtacgtacgtn'),'[^a-zA-Z]','n','g'))"
 
 
 def _seq(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.upper(F.regexp_replace(F.translate(F.substring("text", 1, 256), "eioubdfhjklmnpqrsvwxyz .,", "acgtacgtacgtacgtacgtacgtn"), "[^a-zA-Z]", "n")).alias("seq"))
+    return table(spark, d, "documents").select("doc_id", F.upper(F.regexp_replace(F.translate("text", "eioubdfhjklmnpqrsvwxyz .,", "acgtacgtacgtacgtacgtacgtn"), "[^a-zA-Z]", "n")).alias("seq"))
 
 
 @query("str6_reverse_complement", f"SELECT doc_id, reverse(translate(regexp_replace({_SEQ},'[^ACGTU]','N','g'),'ACGTUN','UGCAAN')) AS rc, translate({_SEQ},'T','U') AS rna FROM documents")
@@ -186,7 +186,7 @@ def windows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(n >= 72, F.expr("(length(text) - 72) div 16 + 1")).otherwise(0).cast("int").alias("n"))
 
 
-@query("seq3_window_rows", f"WITH s AS (SELECT doc_id, {_SEQ} AS q FROM documents) SELECT doc_id, (i//4)::INTEGER AS pos, substring(q, i+1, 96) AS w FROM s, range(0, 161, 4) r(i) WHERE i+96<=length(q)")
+@query("seq3_window_rows", f"WITH s AS (SELECT doc_id, {_SEQ} AS q FROM documents) SELECT doc_id, (i//4)::INTEGER AS pos, substring(q, i+1, 96) AS w FROM (SELECT doc_id, q, unnest(range(0, greatest(length(q)-95, 0), 4)) AS i FROM s)")
 def window_rows(spark, d):
     return _seq(spark, d).select("doc_id", F.posexplode(sc.windows("seq", 96, 4)).alias("pos", "w"))
 

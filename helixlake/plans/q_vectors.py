@@ -34,26 +34,27 @@ def _label(spark, d, label):
     return table(spark, d, "embeddings").where(F.col("label") == label).select("label", F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
 
 
-@query("emb6_squared_distances", "SELECT a.vec_id AS pos, b.vec_id AS pos_b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])**2,6) AS d2 FROM embeddings a JOIN embeddings b ON a.label=3 AND b.label=3 AND a.vec_id<b.vec_id AND b.vec_id<200")
+@query("emb6_squared_distances", "SELECT a.vec_id AS pos, b.vec_id AS pos_b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])**2,6) AS d2 FROM embeddings a JOIN embeddings b ON a.label=3 AND b.label=3 AND a.vec_id<b.vec_id")
 def squared(spark, d):
-    a = _label(spark, d, 3).where("pos < 200")
+    a = _label(spark, d, 3)
     return vx.pair_distances(a, a, ["label"]).where("pos < pos_b").select("pos", "pos_b", F.round("d2", 6).alias("d2"))
 
 
-@query("emb7_gamma", "WITH p AS (SELECT a.label, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<200 AND b.vec_id<200 WHERE a.vec_id<>b.vec_id) SELECT label, round(1.0/(2.0*quantile_cont(dist,0.5)**2+1e-10),6) AS gamma FROM p GROUP BY 1")
+@query("emb7_gamma", "WITH p AS (SELECT a.label, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a JOIN embeddings b ON a.label=b.label WHERE a.vec_id<>b.vec_id) SELECT label, round(1.0/(2.0*quantile_cont(dist,0.5)**2+1e-10),6) AS gamma FROM p GROUP BY 1")
 def gamma(spark, d):
-    a = table(spark, d, "embeddings").where("vec_id < 200").select("label", F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
+    a = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
     return vx.gamma(vx.pair_distances(a, a, ["label"]).where("pos <> pos_b"), ["label"]).withColumn("gamma", F.round("gamma", 6))
 
 
-@query("emb8_mmd", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IN (0,1) AND vec_id<1000), k AS (SELECT a.label AS x, b.label AS y, a.vec_id=b.vec_id AS same, exp(-0.5*list_distance(a.e,b.e)**2) AS k FROM v a, v b)
+@query("emb8_mmd", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IN (0,1)), k AS (SELECT a.label AS x, b.label AS y, a.vec_id=b.vec_id AS same, exp(-0.5*list_distance(a.e,b.e)**2) AS k FROM v a, v b)
   SELECT round(avg(k) FILTER (x=0 AND y=0 AND NOT same)+avg(k) FILTER (x=1 AND y=1 AND NOT same)-2.0*avg(k) FILTER (x=0 AND y=1),8) AS mmd2 FROM k""")
 def mmd(spark, d):
-    return vx.mmd2(table(spark, d, "embeddings").where("vec_id < 1000"), "label", 0, 1, "vec_id", "embedding", 0.5).select(F.round("mmd2", 8).alias("mmd2"))
+    return vx.mmd2(table(spark, d, "embeddings"), "label", 0, 1, "vec_id", "embedding", 0.5).select(F.round("mmd2", 8).alias("mmd2"))
 
 
 def _windows(spark, d, odd):
-    e = table(spark, d, "embeddings").where((F.col("vec_id") % 2 == odd) & (F.col("vec_id") < 400))
+    """Windows of one of the two sequences of a label: the even vectors, or the odd ones."""
+    e = table(spark, d, "embeddings").where(F.col("vec_id") % 2 == odd)
     e = e.select("label", F.floor(F.col("vec_id") / 40).cast("bigint").alias("i"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return e.groupBy("label", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "v"))), lambda x: x["v"]).alias("rows"))
 
@@ -72,13 +73,13 @@ def displacement(spark, d):
 
 @query("emb1_embed")
 def embed(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 160).alias("s"))
+    s = table(spark, d, "documents").select("doc_id", F.col("text").alias("s"))
     return vx.embed(s, "s").select("doc_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
 def _cells(spark, d):
     """Distances between the even and the odd vectors of each label, by position."""
-    e = table(spark, d, "embeddings").where("vec_id < 300")
+    e = table(spark, d, "embeddings")
     from helixlake.operators.windows import ordinal
 
     a = ordinal(e.where("vec_id % 2 = 0"), ["label"], ["vec_id"], "i").select("label", "i", F.col("embedding").alias("x"))
@@ -86,7 +87,7 @@ def _cells(spark, d):
     return a.join(b, "label").select("label", "i", "j", (sc.squared_distance("x", "y") / 20).alias("mmd"))
 
 
-_CELLS = """WITH a AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS i, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id<300 AND vec_id%2=0), b AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS j, embedding::DOUBLE[] AS y FROM embeddings WHERE vec_id<300 AND vec_id%2=1),
+_CELLS = """WITH a AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS i, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id%2=0), b AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS j, embedding::DOUBLE[] AS y FROM embeddings WHERE vec_id%2=1),
   c AS (SELECT label, i, j, list_distance(x,y)**2/20 AS mmd FROM a JOIN b USING (label))"""
 
 
