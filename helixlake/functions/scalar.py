@@ -122,3 +122,14 @@ def dot(a: Column | str, b: Column | str) -> Column:
 def squared_distance(a: Column | str, b: Column | str) -> Column:
     d = F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.greatest(F.lit(0.0), F.aggregate(d, F.lit(0.0), lambda s, x: s + x))
+
+
+def elapsed(seconds: Column | str) -> Column:
+    """Whole hours, minutes and seconds."""
+    x = _c(seconds).cast("bigint")
+    return F.struct(F.floor(x / 3600).alias("hours"), F.floor(x % 3600 / 60).alias("minutes"), (x % 60).alias("seconds"))
+
+
+def matched_region(first: Column | str, last: Column | str, length: Column | str, stride: int, window: int) -> Column:
+    """The bases under windows ``first`` to ``last``, clipped to the sequence."""
+    return F.struct((_c(first) * stride).alias("start"), F.least(_c(last) * stride + window, _c(length)).alias("end"))

@@ -164,3 +164,8 @@ def decay_class(n: Column, rho: Column, p: Column, near: Column, far: Column) ->
         .when(change > 0.08, "sharp")
         .otherwise("sporadic")
     )
+
+
+def remap(df: DataFrame, rules: dict) -> DataFrame:
+    """Replaces columns by what each rule (a function of a Column) makes of them; rules stay in the JVM."""
+    return df.withColumns({name: rule(F.col(name)) for name, rule in rules.items()})

@@ -62,3 +62,10 @@ def upsert(versions: DataFrame, key: list[str], seq: list[str], merged: list[str
     columns = [c for c in versions.columns if c not in key]
     pick = [(F.max_by(c, F.when(F.col(c).isNotNull(), order)) if merged and c in merged else F.max_by(c, order)).alias(c) for c in columns]
     return versions.groupBy(*key).agg(*pick)
+
+
+def random_windows(df: DataFrame, key: Column, length: Column, width: int, n: int, seed: int = 42) -> DataFrame:
+    """``n`` windows (k, s) of each row's sequence at places that a seeded hash of (key, k) gives; none for shorter sequences."""
+    at = df.where(length >= width).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", key, F.col("k"), F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return at.withColumn("s", drawn % (length - (width - 1)))

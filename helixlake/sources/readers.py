@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from helixlake.functions.scalar import absolute_blocks
+from helixlake.functions.scalar import absolute_blocks, block_length
 
 BED12 = (
     "chrom string, start bigint, end bigint, name string, score int, strand string, thick_start bigint, thick_end bigint, rgb string, "
@@ -29,6 +29,14 @@ def read_bed12(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"strand": strand_sign(F.col("strand")), "blocks": absolute_blocks("start", "block_sizes", "block_starts")})
 
 
+def bed_lengths(lines: DataFrame) -> DataFrame:
+    """(name, length) of raw BED lines (column ``value``): summed blocks, or the span where they sum to nothing; notes and blanks are skipped."""
+    f = F.split("value", "\t")
+    rows = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#") & (F.size(f) >= 4))
+    rows = rows.select(f[3].alias("name"), f[1].try_cast("bigint").alias("s"), f[2].try_cast("bigint").alias("e"), F.get(f, F.lit(10)).alias("sizes"))
+    return rows.where("s is not null and e is not null").select("name", F.coalesce(block_length("s", "e", "sizes"), F.col("e") - F.col("s")).alias("length"))
+
+
 def read_bed(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
     rows = spark.read.schema(BED9).csv(path, sep="\t", comment="#")
     return rows.select(*columns) if columns else rows
@@ -95,9 +103,9 @@ def read_psl(spark: SparkSession, path: str, bin_column: bool = True) -> DataFra
     return rows.select("t_name", "t_start", "t_end", blocks.alias("blocks")).where("t_start is not null")
 
 
-def read_nested(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """A JSON object of id -> value as rows (id, value)."""
-    text = spark.read.text(path, wholetext=True)
+def read_nested(spark: SparkSession, path: str, value_schema: str, lines: bool = False) -> DataFrame:
+    """JSON objects of id -> value, one per file or one per line, as rows (id, value)."""
+    text = spark.read.text(path, wholetext=not lines)
     return text.select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias("id", "value"))
 
 

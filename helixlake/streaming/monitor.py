@@ -35,3 +35,38 @@ def status_counts(results: DataFrame) -> DataFrame:
 def safe_batch(n_ok: int, step: int, margin: float = 0.8) -> int:
     """The suggested batch size below the largest that worked."""
     return int(n_ok * margin) // step * step
+
+
+def micro_batches(df: DataFrame, work, schema: str, most: int) -> DataFrame:
+    """Calls ``work`` on frames of at most ``most`` rows, as a model with a batch limit needs; works on batches and streams."""
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), most):
+                yield work(frame.iloc[at : at + most])
+
+    return df.mapInPandas(run, schema)
+
+
+def guarded(jobs: DataFrame, arg: str, work) -> DataFrame:
+    """Adds ``result`` and ``status``: a job that fails becomes a row that says so and stops no other."""
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+    def run(frames):
+        for frame in frames:
+            result, status = [], []
+            for value in frame[arg]:
+                try:
+                    result.append(float(work(value)))
+                    status.append("ok")
+                except Exception as error:  # whatever a job raises is its status
+                    result.append(None)
+                    status.append(f"error: {type(error).__name__}")
+            yield frame.assign(result=result, status=status)
+
+    return jobs.mapInPandas(run, StructType([*jobs.schema, StructField("result", DoubleType()), StructField("status", StringType())]))
+
+
+def progress_due(done: int, total: int, since: float, every: int = 100, seconds: float = 30.0, tail: int = 100) -> bool:
+    """Whether to report progress: at each ``every`` jobs, after ``seconds`` of silence, and for the last ``tail`` jobs."""
+    return done % every == 0 or since >= seconds or total - done < tail
