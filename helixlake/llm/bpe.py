@@ -90,35 +90,37 @@ class WordBpe:
     def merge(self, ids: list[int]) -> list[int]:
         """Merge symbols by rank with a heap over a doubly linked list."""
         n, get = len(ids), self.merges.get
-        queue = []
-        for i in range(n - 1):
-            hit = get(ids[i] << ID_BITS | ids[i + 1])
-            if hit is not None:
-                queue.append(hit << PLACE_BITS | i)
+        # the entry that stands for the pair at each place now; any other entry of that place is stale
+        now = [-1 if hit is None else hit << PLACE_BITS | i for i, hit in enumerate([get(a << ID_BITS | b) for a, b in zip(ids, ids[1:], strict=False)])]
+        queue = [entry for entry in now if entry >= 0]
         if not queue:
             return ids
+        now.append(-1)
         heapq.heapify(queue)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pop, push, place, id_mask = heapq.heappop, heapq.heappush, (1 << PLACE_BITS) - 1, (1 << ID_BITS) - 1
         while queue:
             entry = pop(queue)
-            i, what = entry & place, entry >> PLACE_BITS
-            a, j = ids[i], after[i]
-            if a < 0 or j >= n or get(a << ID_BITS | ids[j]) != what:
+            i = entry & place
+            if now[i] != entry:
                 continue  # stale: one of the two symbols has been merged since
-            joined = ids[i] = what & id_mask
-            ids[j] = -1
+            j = after[i]
+            joined = ids[i] = entry >> PLACE_BITS & id_mask
+            ids[j] = now[i] = now[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 hit = get(joined << ID_BITS | ids[k])
                 if hit is not None:
-                    push(queue, hit << PLACE_BITS | i)
+                    entry = now[i] = hit << PLACE_BITS | i
+                    push(queue, entry)
             h = before[i]
             if h >= 0:
+                now[h] = -1
                 hit = get(ids[h] << ID_BITS | joined)
                 if hit is not None:
-                    push(queue, hit << PLACE_BITS | h)
+                    entry = now[h] = hit << PLACE_BITS | h
+                    push(queue, entry)
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
