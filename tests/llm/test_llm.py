@@ -155,6 +155,10 @@ def test_deobfuscation():
         assert m.score(f"a {t} b", {}) >= 0.5, t
     assert m.score("the cat sat 10 times", {}) < 0.5
     assert "stupid" in m.restore("a s t u p i d cat")
+    far = " ".join("xqzv" * 60)  # a spaced run and a token are read whole, however long
+    assert m.score(f"a {far} s t u p i d b", {}) >= 0.5 and m.score(f"a {far} b", {}) < 0.5
+    assert m.score("so stupi" + "i" * 200 + "d b", {}) >= 0.5
+    assert len(m.decode("ab" * 5000)) == 10_000
 
 
 def tokenizer():
