@@ -26,7 +26,7 @@ import unicodedata
 import numpy as np
 import regex
 
-MEMO_WORDS, MEMO_LENGTH = 500_000, 48
+MEMO_WORDS, MEMO_LENGTH = 200_000, 48
 ID_BITS, PLACE_BITS = 17, 26  # a queue entry is one integer: rank, merged id, position
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split cuts at these, the vocabulary's splitter does not
