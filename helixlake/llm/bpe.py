@@ -26,7 +26,7 @@ import unicodedata
 import numpy as np
 import regex
 
-MEMO_WORDS, MEMO_LENGTH = 200_000, 48
+MEMO_WORDS, MEMO_LENGTH = 500_000, 48
 ID_BITS, PLACE_BITS = 17, 26  # a queue entry is one integer: rank, merged id, position
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split cuts at these, the vocabulary's splitter does not
@@ -134,6 +134,7 @@ class WordBpe:
     def _cut(self, cut: str) -> bytes:
         """Packed ids of a text without white space."""
         text = cut.lower() if cut.isascii() else unicodedata.normalize("NFC", cut).replace("Σ", "σ").lower()
+        text = cut if text == cut else text  # both memos then share one string
         memo = self.piece_memo
         if text.isalpha():
             return memo[text]
