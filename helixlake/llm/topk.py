@@ -7,7 +7,8 @@ bounded sample of rows (a lower bound of the final one). A bucket whose greatest
 c = theta / (|q| * l):
 
 * if c is at least ``coordinate_from``, coordinate pruning: a unit vector p with <q, p> >= c has
-  p_f within q_f * c +- sqrt((1 - c^2)(1 - q_f^2)) for each focus coordinate f of the query;
+  p_f within q_f * c +- sqrt((1 - c^2)(1 - q_f^2)) for each focus coordinate f of the query, but
+  no upper limit if q_f >= c and no lower one if q_f <= -c (the axis is then nearer than the angle);
 * else length pruning: rows shorter than theta / |q| are left out.
 
 What is left is verified by the exact product, and theta rises with each bucket. Both bounds carry
@@ -64,7 +65,10 @@ class Bucket:
                 keep, unit = np.ones(end, dtype=bool), query / size
                 for f in np.argsort(-np.abs(unit))[:focus]:
                     reach = np.sqrt(max(0.0, (1 - cosine**2) * (1 - unit[f] ** 2))) + SLACK
-                    keep &= np.abs(self.unit[:end, f] - unit[f] * cosine) <= reach if unit[f] * cosine + reach < 1 else self.unit[:end, f] >= unit[f] * cosine - reach
+                    if unit[f] < cosine:  # else the axis itself is within the angle
+                        keep &= self.unit[:end, f] <= unit[f] * cosine + reach
+                    if unit[f] > -cosine:
+                        keep &= self.unit[:end, f] >= unit[f] * cosine - reach
                 some = np.flatnonzero(keep)
         ids, rows = self.ids[some], self.rows[some]
         own = ids != q_id

@@ -131,6 +131,24 @@ def test_exact_top(spark):
     assert topk.exact_top(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_exact_top_along_an_axis(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 16))
+    for i in range(0, 400, 4):  # one coordinate rules, of either sign; some have no other
+        x[i] *= 0 if i % 40 == 0 else 0.1
+        x[i, i // 40 % 4] = 3 if i % 8 else -3
+    x[1::40] = x[::40]  # exact copies
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    v = np.floor(256 * x).astype(np.int64)
+    got = {}
+    for r in topk.exact_top(df, F.col("vec_id") % 4 == 0, data_block=64, sample_rows=200).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    for q in range(0, 400, 4):
+        s = v @ v[q]
+        want = sorted((-int(s[i]), i) for i in range(400) if i != q)[:5]
+        assert [got[q].get(k + 1) for k in range(5)] == [(i, -m) for m, i in want]
+
+
 @pytest.mark.parametrize("which", ["quality", "toxic"])
 def test_classifiers_learn(spark, odd, empty, which):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
