@@ -324,6 +324,46 @@ def test_near_dup_keeps_one_of_each_group(spark, odd, empty):
     assert near_dup.keep_one(empty).count() == 0
 
 
+def word_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("rows", [512, 7])
+def test_near_dup_verifies_the_similarity(spark, rows):
+    """Pairs on both sides of the limit, of all lengths, with repeated lines, and chains: as brute force."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for g in range(240):
+        n = int(rng.integers(8, 60)) if g % 4 == 0 else int(rng.integers(60, 500))
+        w = [f"{g}_{rng.integers(0, 5000)}" for _ in range(n)]
+        line = [f"line{g}", "of", "five", "or", "six", "words"] * (30 if g % 5 == 0 else 0)
+        texts.append(" ".join(w + line))
+        for k in range(3 if g % 10 == 0 else 1):  # cut at the front and longer at the end: a similarity from 0.65 to 0.95
+            cut = max(1, round(n * rng.uniform(0.025, 0.2)))
+            w = w[cut:] + [f"new{g}_{k}_{i}" for i in range(cut)]
+            texts.append(" ".join(w + line[: 6 * 3]))
+    sets, group = [word_shingles(t) for t in texts], list(range(len(texts)))
+    near, just_below = 0, 0
+    for i in range(len(texts)):
+        for j in range(i + 1, min(i + 4, len(texts))):
+            jaccard = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            near, just_below = near + (0.8 <= jaccard < 0.87), just_below + (0.7 < jaccard < 0.8)
+            if jaccard >= 0.8 and group[i] != group[j]:
+                group = [group[i] if x == group[j] else x for x in group]
+    assert near > 30 and just_below > 30
+    want = {min(i for i in range(len(texts)) if group[i] == g) for g in set(group)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_dup.keep_one(df, block_rows=rows, **({"group_rows": rows} if rows < 512 else {})).collect()} == want
+
+
+def test_near_dup_large_group_by_tiles(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k:]) for k in range(60)] + [" ".join(base[:100] + [f"y{k}_{i}" for i in range(60)]) for k in range(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_dup.keep_one(df, group_rows=8).collect()} == {0, *range(60, 69)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
