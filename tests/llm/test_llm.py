@@ -179,6 +179,17 @@ def test_deobfuscation():
     assert len(m.decode("ab" * 5000)) == 10_000
 
 
+def test_deobfuscation_of_doubled_letters_and_short_spaced_words():
+    clean = ["the cat sat on a mat and it was warm", "an idle day in the sun with tea", "we read of ships and stars in a book"]
+    rows = [(0, f"{clean[i % 3]} n{i}") for i in range(60)] + [(1, f"{clean[i % 3]} idiot {chr(97 + i % 26)}{i} moron z{i} stupid y{i} die v{i}") for i in range(60)]
+    m = toxicity.Model(rows)
+    for t in ("stuupid", "idioot", "iidioott", "mooron", "Stuppid,", "d i e", "d.i.e", "d-1-e", "diie"):
+        assert m.score(f"the {t} cat", {}) >= 0.5, t
+    assert m.score("read a d i e b cat", {}) >= 0.5 and "die" in m.restore("the d i e cat") and "stupid" in m.restore("so stuupid")
+    for t in ("book", "a b c", "d i", "d i n e t", "moor", "see"):
+        assert m.score(f"the {t} cat", {}) < 0.5, t
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
