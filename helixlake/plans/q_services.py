@@ -185,8 +185,10 @@ def random_windows(spark, d):
 
 @query("emb5_logistic_fit")
 def logistic_fit(spark, d):
-    e = table(spark, d, "embeddings").select((F.col("label") < 5).cast("int").alias("y"), *(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(8)))
-    model = vx.fit_logistic(e, [f"x{k}" for k in range(8)], "y")
+    e = table(spark, d, "embeddings").select((F.col("label") < 5).cast("int").alias("y"), "embedding")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"x{k}" for k in range(width)]
+    model = vx.fit_logistic(e.select("y", *(F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names))), names, "y")
     return spark.createDataFrame([(k, round(float(c), 6)) for k, c in enumerate([*model.coefficients, model.intercept])], "term int, weight double")
 
 

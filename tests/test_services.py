@@ -83,3 +83,10 @@ def test_two_sample_distance_by_tiles(spark):
     k = lambda a, b: np.exp(-0.5 * ((a[:, None] - b[None]) ** 2).sum(-1))
     want = (k(x, x).sum() - 9) / 72 + (k(y, y).sum() - 7) / 42 - 2 * k(x, y).mean()
     assert abs(got - want) < 1e-9
+
+
+def test_logistic_fit_learns_every_component(spark):
+    from helixlake.plans.catalog import queries
+
+    got = [r["weight"] for r in queries()["emb5_logistic_fit"](spark, "/root/testdata/sf0.001").orderBy("term").collect()]
+    assert len(got) == 65 and all(got)
