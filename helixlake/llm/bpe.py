@@ -5,12 +5,19 @@ Encoding keeps a doubly linked list of symbols per word piece and a priority que
 queued are stale and skipped, and a merge queues the two new neighbouring pairs. Decoding joins
 the vocabulary strings of the ids.
 
-White space separates pieces in every rule of the vocabulary's splitter, so a text is cut at white
-space first and each cut is encoded once per worker (a bounded memo of packed ids).
+White space separates pieces in every rule of the vocabulary's splitter, so the texts of a block
+are cut at ASCII white space and each distinct cut is encoded once; the ids of a block are then put
+together by one gather. Pieces are merged once per worker (a bounded memo of packed ids). Cuts of
+ASCII and precomposed Latin characters are lowered and split here; any other cut goes through the
+normaliser and the splitter that the vocabulary file itself describes, run by the tokenizers
+library, so that letters, numbers and compositions are those of its Unicode tables. Merging is
+done here for every cut.
 
 Edge cases: null means empty; an empty text has no ids and decodes to ""; a text that spells a
 special token yields its id, as the vocabulary's added tokens do; very long words are merged in
-O(n log n); ties between equal ranks go to the leftmost pair; other columns are carried along.
+O(n log n), of any length; ties between equal ranks go to the leftmost pair; repeated rows give
+equal rows; an empty table gives an empty result; other columns are carried along, but one that is
+named like an output column is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,15 +28,19 @@ import gc
 import heapq
 import json
 import re
-import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-MEMO_WORDS, MEMO_LENGTH = 500_000, 48
-ID_BITS, PLACE_BITS = 17, 26  # a queue entry is one integer: rank, merged id, position
-_WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split cuts at these, the vocabulary's splitter does not
+from .textops import in_blocks
+
+MEMO_WORDS, MEMO_LENGTH, BLOCK = 800_000, 48, 1 << 23
+# Precomposed Latin letters: composed already, lowered one by one; U+0130 alone is lowered to two characters.
+_LATIN = r"^[\x00-\x7f\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]*$"
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_alphabet() -> list[str]:
@@ -41,128 +52,195 @@ def byte_alphabet() -> list[str]:
     return [stand[b] for b in range(256)]
 
 
-class _Memo(dict):
+class _Memo:
     """A bounded memo of two generations: a full one becomes the old one, from which what is still used moves over."""
 
     def __init__(self, make, most: int) -> None:
-        super().__init__()
-        self.make, self.most, self.old = make, most // 2, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= MEMO_LENGTH:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+        self.make, self.most, self.new, self.old = make, most // 2, {}, {}
+
+    def all(self, keys: list) -> list:
+        found, old, make = list(map(self.new.get, keys)), self.old.get, self.make
+        for i, value in enumerate(found):
+            if value is None:
+                key = keys[i]
+                value = found[i] = old(key) or make(key)
+                if len(key) <= MEMO_LENGTH:
+                    if len(self.new) >= self.most:
+                        self.old, self.new = self.new, {}
+                        old = self.old.get
+                    self.new[key] = value
+        return found
 
 
 class WordBpe:
     """A word-end BPE vocabulary read from a tokenizer file."""
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
+        model, library = spec["model"], Tokenizer.from_file(path)
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.strings = {i: s for s, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings |= {i: s for s, i in self.special.items()}
-        self.merges: dict[int, int] = {}  # pair of ids -> rank and merged id
+        self.made: list[int] = []  # by rank, the merged id
+        nothing: dict[int, int] = {}
+        ranks = [nothing] * (max(self.vocab.values()) + 1)  # by left id, the rank of each right id
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if not isinstance(pair, str) else pair.split(" ")
-            self.merges.setdefault(self.vocab[a] << ID_BITS | self.vocab[b], rank << ID_BITS | self.vocab[a + b])
+            left = self.vocab[a]
+            ranks[left] = ranks[left] or {}
+            ranks[left].setdefault(self.vocab[b], rank)
+            self.made.append(self.vocab[a + b])
+        self.rank = [d.get for d in ranks]
         self.packed = {i: np.uint32(i).astype("<u4").tobytes() for i in self.strings}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         stand = byte_alphabet()
         self.inner = [self.vocab.get(c) for c in stand]
         self.final = [self.vocab.get(c + self.end) for c in stand]
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.marks = [s[:2] for s in self.special]
-        self.piece_memo = _Memo(self._piece, MEMO_WORDS)
-        self.cut_memo = _Memo(self._cut, MEMO_WORDS)
+        self.memo = _Memo(self._piece, MEMO_WORDS)
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Merge symbols by rank with a heap over a doubly linked list."""
-        n, get = len(ids), self.merges.get
+        """Merge symbols by rank with a heap over a doubly linked list; a queue entry is one integer, rank and place."""
+        n, rank, made = len(ids), self.rank, self.made
+        shift = n.bit_length()
         # the entry that stands for the pair at each place now; any other entry of that place is stale
-        now = [-1 if hit is None else hit << PLACE_BITS | i for i, hit in enumerate([get(a << ID_BITS | b) for a, b in zip(ids, ids[1:], strict=False)])]
-        queue = [entry for entry in now if entry >= 0]
+        now, queue, left = [], [], ids[0]
+        for i, right in enumerate(ids[1:]):
+            r = rank[left](right)
+            if r is None:
+                now.append(-1)
+            else:
+                entry = r << shift | i
+                now.append(entry)
+                queue.append(entry)
+            left = right
         if not queue:
             return ids
         now.append(-1)
         heapq.heapify(queue)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pop, push, place, id_mask = heapq.heappop, heapq.heappush, (1 << PLACE_BITS) - 1, (1 << ID_BITS) - 1
+        pop, push, place = heapq.heappop, heapq.heappush, (1 << shift) - 1
         while queue:
             entry = pop(queue)
             i = entry & place
             if now[i] != entry:
                 continue  # stale: one of the two symbols has been merged since
             j = after[i]
-            joined = ids[i] = entry >> PLACE_BITS & id_mask
+            joined = ids[i] = made[entry >> shift]
             ids[j] = now[i] = now[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                hit = get(joined << ID_BITS | ids[k])
-                if hit is not None:
-                    entry = now[i] = hit << PLACE_BITS | i
+                r = rank[joined](ids[k])
+                if r is not None:
+                    entry = now[i] = r << shift | i
                     push(queue, entry)
             h = before[i]
             if h >= 0:
-                now[h] = -1
-                hit = get(ids[h] << ID_BITS | joined)
-                if hit is not None:
-                    entry = now[h] = hit << PLACE_BITS | h
+                r = rank[ids[h]](joined)
+                if r is None:
+                    now[h] = -1
+                else:
+                    entry = now[h] = r << shift | h
                     push(queue, entry)
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        data, inner = piece.encode(), self.inner
-        ids = [inner[b] for b in data[:-1]]
-        ids.append(self.final[data[-1]])
-        ids = self.merge([x for x in ids if x is not None] if None in ids else ids)
-        packed = self.packed
-        return b"".join([packed[i] for i in ids])
-
-    def _cut(self, cut: str) -> bytes:
-        """Packed ids of a text without white space."""
-        text = cut.lower() if cut.isascii() else unicodedata.normalize("NFC", cut).replace("Σ", "σ").lower()
-        text = cut if text == cut else text  # both memos then share one string
-        memo = self.piece_memo
-        if text.isalpha():
-            return memo[text]
-        if text[-1] in ".," and text[:-1].isalpha():  # the two pieces that the splitter would give
-            return memo[text[:-1]] + memo[text[-1]]
-        return b"".join([memo[piece] for piece in self.pieces(text)])
-
-    def _plain(self, text: str) -> list[bytes]:
-        cuts = _WHITE.split(text) if _SEPARATORS.search(text) else text.split()
-        return list(map(self.cut_memo.__getitem__, filter(None, cuts)))
+        data = piece.encode()
+        ids = list(map(self.inner.__getitem__, data))
+        ids[-1] = self.final[data[-1]]
+        if None in ids:
+            ids = [x for x in ids if x is not None]
+        return b"".join(map(self.packed.__getitem__, self.merge(ids) if len(ids) > 1 else ids))
+
+    def _by_library(self, cut: str) -> bytes:
+        """Packed ids of a cut whose normal form and pieces the vocabulary's own rules give; pieces come in stand-in letters."""
+        found = []
+        for piece, _ in self.split(self.normalize(cut)):
+            ids = [self.vocab.get(c) for c in piece[:-1]] + [self.vocab.get(piece[-1] + self.end)]
+            ids = [x for x in ids if x is not None]
+            found += [self.packed[i] for i in (self.merge(ids) if len(ids) > 1 else ids)]
+        return b"".join(found)
+
+    def _other(self, cut: str) -> bytes:
+        """Packed ids of a text without ASCII white space that is more than letters and one run of signs."""
+        if not cut.isascii():
+            return self._by_library(cut)
+        return b"".join(self.memo.all(self.pieces(cut.lower())))
+
+    def _distinct(self, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without ASCII white space end to end, and how many each has."""
+        here = pc.or_(pc.string_is_ascii(cuts), pc.match_substring_regex(cuts, _LATIN))
+        lower = pc.utf8_lower(cuts)
+        word = pc.utf8_rtrim(lower, characters=_SIGNS)
+        # letters and at most one run of signs: the one or two pieces that the splitter would give
+        plain = pc.and_(here, pc.utf8_is_alpha(word)).to_numpy(zero_copy_only=False)
+        at, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        words = word.take(pa.array(at)).dictionary_encode()
+        letters, whole = (pc.utf8_length(x).to_numpy()[at] for x in (word, lower))
+        signed = np.flatnonzero(whole > letters)
+        tails = [x[n:] for x, n in zip(lower.take(pa.array(at[signed])).to_pylist(), letters[signed].tolist(), strict=True)]
+        number = {tail: i for i, tail in enumerate(dict.fromkeys(tails))}
+        values = [b"", *self.memo.all(words.dictionary.to_pylist()), *self.memo.all(list(number)), *map(self._other, cuts.take(pa.array(rest)).to_pylist())]
+        parts = np.zeros((len(cuts), 2), dtype=np.int64)
+        parts[at, 0] = words.indices.to_numpy() + 1
+        after_words = len(words.dictionary) + 1
+        parts[at[signed], 1] = np.fromiter(map(number.__getitem__, tails), dtype=np.int64, count=len(tails)) + after_words
+        parts[rest, 0] = np.arange(len(rest)) + after_words + len(number)
+        count = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        return _gather(np.frombuffer(b"".join(values), "<u4"), count, parts.reshape(-1)), count[parts].sum(axis=1)
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that spell no special token, end to end, and how many each has."""
+        cuts = pc.ascii_split_whitespace(texts)
+        met = cuts.flatten().dictionary_encode()
+        ids, count = self._distinct(met.dictionary)
+        order = met.indices.to_numpy()
+        total = np.concatenate(([0], np.cumsum(count[order])))
+        return _gather(ids, count, order), np.diff(total[cuts.offsets.to_numpy() - cuts.offsets[0].as_py()])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if any(m in text for m in self.marks) and (parts := self.find_special.split(text))[1:]:
-            found = []
-            for i, part in enumerate(parts):
-                if i % 2:
-                    found.append(self.packed[self.special[part]])
-                else:
-                    found += self._plain(part)
-        else:
-            found = self._plain(text)
-        return b"".join(found)
+        parts = self.find_special.split(text) if self.special else [text]
+        ids, count = self.encode_block(pa.array(parts[::2], pa.string()))
+        found = [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(count)[:-1])]
+        return b"".join(x for pair in zip(found, [*(self.packed[self.special[p]] for p in parts[1::2]), b""], strict=True) for x in pair)
+
+    def encode_column(self, column: pa.Array) -> Iterator[bytes]:
+        """The packed ids of each text of a column, null as empty; blocks of about ``BLOCK`` bytes are encoded together."""
+        column = column.fill_null("")
+        for lo, hi in in_blocks(pc.binary_length(column).to_pylist(), BLOCK):
+            texts = column.slice(lo, hi - lo).cast(pa.string())
+            special = np.zeros(hi - lo, dtype=bool)
+            for token in self.special:
+                special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+            ids, count = self.encode_block(pc.if_else(pa.array(special), "", texts) if special.any() else texts)
+            data, end = ids.astype("<u4").tobytes(), 0
+            for i, n in enumerate(count.tolist()):
+                begin, end = end, end + 4 * n
+                yield self.encode(texts[i].as_py()) if special[i] else data[begin:end]
 
     def decode(self, ids: bytes) -> str:
-        """The vocabulary strings of packed ids, joined as the library's decoder joins them."""
-        strings = self.strings
-        return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist() if i in strings])
+        """The vocabulary strings of packed ids, joined as the library's decoder joins them; unknown ids are left out."""
+        strings, numbers = self.strings, np.frombuffer(ids, "<u4").tolist()
+        try:
+            return " ".join(map(strings.__getitem__, numbers))
+        except KeyError:
+            return " ".join([strings[i] for i in numbers if i in strings])
+
+
+def _gather(flat: np.ndarray, count: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The items ``order`` of ``flat``, which holds items of ``count`` values end to end."""
+    start, size = np.cumsum(count) - count, count[order]
+    shift = start[order] - (np.cumsum(size) - size)
+    return flat[np.repeat(shift, size) + np.arange(size.sum())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -187,7 +265,6 @@ def encode_documents(docs, path: str, text: str = "text", with_output: bool = Fa
     """All columns of docs but the text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded."""
     import hashlib
 
-    import pyarrow as pa
     from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
     made = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_output else [])]
@@ -200,8 +277,7 @@ def encode_documents(docs, path: str, text: str = "text", with_output: bool = Fa
         for batch in batches:
             count, ids_hash, text_hash, all_ids, all_text = [], [], [], [], []
             with no_cycles():
-                for value in batch.column(text):
-                    ids = bpe.encode(value.as_py() or "")
+                for ids in bpe.encode_column(batch.column(text)):
                     decoded = bpe.decode(ids)
                     count.append(len(ids) // 4)
                     ids_hash.append(hashlib.sha256(ids).hexdigest())

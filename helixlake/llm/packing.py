@@ -42,8 +42,8 @@ def pieces(docs: DataFrame, path: str, id_col: str, text: str, length: int, end_
         for batch in batches:
             source, rows = [], []
             with no_cycles():
-                for i, value in enumerate(batch.column(text)):
-                    ids = bpe.encode(value.as_py() or "") + end
+                for i, ids in enumerate(bpe.encode_column(batch.column(text))):
+                    ids += end
                     n = len(ids) // 4
                     for at in range(0, n, length):
                         part = ids[4 * at : 4 * (at + length)]
