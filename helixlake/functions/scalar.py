@@ -89,6 +89,14 @@ def flip(start: Column | str, end: Column | str, length: Column | str) -> Column
     return F.struct((_c(length) - _c(end)).alias("start"), (_c(length) - _c(start)).alias("end"))
 
 
+def first_rule(rules: dict[str, Column], otherwise: str) -> Column:
+    """The name of the first rule that holds for a row (a rule that is null does not hold)."""
+    found = F.when(F.lit(False), otherwise)
+    for name, holds in rules.items():
+        found = found.when(holds, name)
+    return found.otherwise(otherwise)
+
+
 def spliced(seq: Column | str, blocks: Column | str, minus: Column, per_block: bool = False) -> Column:
     """Concatenated block sequences; on the minus strand reverse-complemented as a whole, or block by block in block order."""
     piece = lambda b: F.substring(_c(seq), b["start"].cast("int") + 1, (b["end"] - b["start"]).cast("int"))

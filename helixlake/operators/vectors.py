@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,19 +32,37 @@ def logistic_score(vector: str, weights: list[float], intercept: float) -> Colum
 
 
 def fit_pca(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, components, explained variance ratio). Means and products are summed per partition; d x d values reach the driver."""
+    """(mean, components, explained variance ratio), in one pass.
+
+    Each partition adds up its count, sums and products and gives one row; these are added in two
+    levels, so the driver holds one matrix of d x d values whatever the input.
+    """
+
     def partial(batches):
+        n, total, products = 0, None, None
         for b in batches:
             if len(b):
                 x = np.stack(b[vector].to_numpy()).astype(np.float64)
-                yield pd.DataFrame({"n": [len(x)], "s": [x.sum(axis=0)], "p": [(x.T @ x).ravel()]})
-
-    parts = df.select(vector).mapInPandas(partial, "n long, s array<double>, p array<double>")
-    sums = parts.select("n", F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).orderBy("i").collect()
-    products = parts.select(F.posexplode("p").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    n, d = sums[0]["n"], len(sums)
-    mean = np.array([r["v"] for r in sums]) / n
-    cov = (np.array([r["v"] for r in products]).reshape(d, d) - n * np.outer(mean, mean)) / (n - 1)
+                if total is None:
+                    total, products = np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))
+                n, total, products = n + len(x), total + x.sum(axis=0), products + x.T @ x
+        if n:
+            yield pd.DataFrame({"n": [n], "s": [total], "p": [products.ravel()]})
+
+    def added(batches):
+        rows = [r for b in batches for r in b.itertuples(index=False)]
+        if rows:
+            yield pd.DataFrame({"n": [sum(r.n for r in rows)], "s": [np.sum([r.s for r in rows], axis=0)], "p": [np.sum([r.p for r in rows], axis=0)]})
+
+    schema = "n long, s array<double>, p array<double>"
+    sums = df.where(F.col(vector).isNotNull()).select(vector).mapInPandas(partial, schema)
+    for width in (64, 1):  # one row a partition, then 64 rows, then one
+        sums = sums.repartition(width).mapInPandas(added, schema)
+    got = sums.first()
+    if got is None:
+        raise ValueError("no vectors to fit")
+    n, mean = got["n"], np.array(got["s"]) / got["n"]
+    cov = (np.array(got["p"]).reshape(len(mean), -1) - n * np.outer(mean, mean)) / (n - 1)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][:k]
     comp = vectors[:, order].T
@@ -115,8 +135,8 @@ def mmd_matrix(left: DataFrame, right: DataFrame, key: str, g: float | None = No
     """(key, i, j, mmd) for every window of the left against every one of the right, per key.
 
     A window is a row (key, i, rows: array of vectors). Pairs whose means lie further apart than
-    ``far`` get 1 without a kernel (the reference's rule); without ``g`` the median of positive
-    distances between up to 16 windows sets it.
+    ``far`` get 1 without a kernel (the reference's rule); without ``g`` the median of the positive
+    distances between every n // 8-th window of each side sets it (all windows of fewer than 16).
     """
 
     def run(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -124,7 +144,7 @@ def mmd_matrix(left: DataFrame, right: DataFrame, key: str, g: float | None = No
         ys = [np.stack(r).astype(float) for r in b.sort_values("i")["rows"]]
         gg = g
         if gg is None:
-            some = np.concatenate([*xs[:: max(1, len(xs) // 8)][:8], *ys[:: max(1, len(ys) // 8)][:8]])
+            some = np.concatenate([*xs[:: max(1, len(xs) // 8)], *ys[:: max(1, len(ys) // 8)]])
             d = np.sqrt(np.maximum(0, (some * some).sum(1)[:, None] + (some * some).sum(1)[None] - 2 * some @ some.T))
             d = d[d > 0]
             gg = 1 / (2 * np.median(d) ** 2 + 1e-10) if len(d) else 1.0
@@ -139,6 +159,50 @@ def mmd_matrix(left: DataFrame, right: DataFrame, key: str, g: float | None = No
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, f"{key} {kind}, i long, j long, mmd double")
 
 
+def kernel_sums(df: DataFrame, by: str, vector: str, g: float, kernel: str | None = None, tile_rows: int = 2048) -> DataFrame:
+    """(by, total): the sum of exp(-g * squared distance) over all ordered pairs of a group, pairs with itself included.
+
+    ``kernel`` is "numpy" (matrix products over tiles of a group) or "jvm" (an expression per pair);
+    without it the environment variable HELIXLAKE_KERNEL decides, numpy by default. A group above
+    ``tile_rows`` rows is dealt to tiles, each pair of which meets in one task.
+    """
+    kernel = kernel or os.environ.get("HELIXLAKE_KERNEL", "numpy")
+    rows = df.where(F.col(vector).isNotNull()).select(by, F.col(vector).cast("array<double>").alias("v"))
+    if kernel == "jvm":
+        pairs = rows.join(rows.withColumnRenamed("v", "w"), by)
+        return pairs.groupBy(by).agg(F.sum(F.exp(F.lit(-g) * squared_distance("v", "w"))).alias("total"))
+    if kernel != "numpy":
+        raise ValueError(f"no kernel {kernel}")
+    tiles = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("n"))
+    dealt = rows.join(tiles, by).withColumn("t", F.pmod(F.xxhash64("v"), F.col("n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    left = dealt.select(F.col(by).alias("key"), F.col("t").alias("p"), other.alias("q"), F.col("v").alias("x"))
+    right = dealt.select(F.col(by).alias("key"), other.alias("p"), F.col("t").alias("q"), F.col("v").alias("y"))
+    kind = df.schema[by].dataType.simpleString()
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({by: [], "part": []})
+        x, y = np.stack(a["x"].to_numpy()), np.stack(b["y"].to_numpy())
+        d = np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T)
+        return pd.DataFrame({by: [key[0]], "part": [float(np.exp(-g * d).sum())]})
+
+    parts = left.groupBy("key", "p", "q").cogroup(right.groupBy("key", "p", "q")).applyInPandas(run, f"{by} {kind}, part double")
+    return parts.groupBy(by).agg(F.sum("part").alias("total"))
+
+
+def infer(df: DataFrame, column: str, load, name: str, kind: str) -> DataFrame:
+    """Adds ``name``: the answers of a model to Arrow batches of ``column``. ``load`` runs once a task and gives a function of a Series."""
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            yield pd.Series(model(batch))
+
+    return df.withColumn(name, run(F.col(column)))
+
+
 def displacement(df: DataFrame, by: list[str], pos: str, vector: str) -> DataFrame:
     """Mean distance of each position's vector to its neighbours on both sides (ends have one)."""
     other = df.select(*by, F.col(pos).alias("__p"), F.col(vector).alias("__v"))
@@ -148,7 +212,7 @@ def displacement(df: DataFrame, by: list[str], pos: str, vector: str) -> DataFra
 
 @functools.lru_cache(maxsize=1 << 16)
 def _kmer(kmer: str) -> tuple[int, int]:
-    h = hashlib.blake2b(kmer.encode(), digest_size=4).digest()
+    h = hashlib.md5(kmer.encode(), usedforsecurity=False).digest()
     return h[0], 1 if h[1] & 1 else -1
 
 

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from helixlake.plans import q_intervals, q_relational, q_scalar, q_services, q_vectors  # noqa: F401
+    from helixlake.plans import q_intervals, q_relational, q_runs, q_scalar, q_services, q_vectors  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -118,9 +118,9 @@ def fuzzy(spark, d):
 )
 def evidence(spark, d):
     t = tx(spark, d)
-    span = iv.overlap_semi(t, chain(spark, d), ["chrom"]).select("tid", F.lit("covered").alias("place"))
+    span = iv.overlap_semi(t, chain(spark, d), ["chrom"]).select("tid", F.lit("covered").alias("place")).distinct()
     block = iv.overlap_semi(exons(spark, d), blocks(spark, d), ["chrom"]).select("tid", F.lit("yes").alias("support")).distinct()
-    all3 = t.select("tid").join(span, "tid", "left").join(block, "tid", "left")
+    all3 = t.select("tid").distinct().join(span, "tid", "left").join(block, "tid", "left")
     return all3.groupBy(F.coalesce("place", F.lit("desert")).alias("place"), F.coalesce("support", F.lit("no")).alias("support")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -172,9 +172,11 @@ def components(spark, d):
     return iv.overlap_components(tx(spark, d), ["gene", "chrom"], "tid")
 
 
-@query("int7_flank_clamp", views("chain") + " SELECT chain_id, greatest(0,s-144) AS s, least(e+256,1500000) AS e FROM chain")
+@query("int7_flank_clamp", views("chain") + ", z AS (SELECT chrom, max(e) AS size FROM chain GROUP BY 1) SELECT chain_id, greatest(0,s-144) AS s, least(e+256,size) AS e FROM chain JOIN z USING (chrom)")
 def flank(spark, d):
-    return iv.flank(chain(spark, d), 144, 256, F.lit(1_500_000)).select("chain_id", "s", "e")
+    c = chain(spark, d)
+    sizes = c.groupBy("chrom").agg(F.max("e").alias("size"))  # one row per chromosome
+    return iv.flank(c.join(F.broadcast(sizes), "chrom"), 144, 256, F.col("size")).select("chain_id", "s", "e")
 
 
 @query(
@@ -196,7 +198,7 @@ def lift_reasons(spark, d):
     t = tx(spark, d)
     n = iv.lift_over(t, blocks(spark, d), ["tid"]).groupBy("tid").agg(F.count(F.lit(1)).alias("k"))
     reason = F.when(F.col("k").isNull(), "unmapped").when(F.col("k") > 1, "many").otherwise("one")
-    return t.select("tid").join(n, "tid", "left").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return t.select("tid").distinct().join(n, "tid", "left").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("int10_chain_split", views("chain", "block") + " SELECT chain_id, k, ((s-min(s) OVER (PARTITION BY chain_id))//400)::BIGINT AS child FROM block")
@@ -220,13 +222,13 @@ def annotated(spark, d):
 
 @query(
     "int12_spliced_to_genomic",
-    views("tx", "exon") + """, o AS (SELECT *, coalesce(sum(e-s) OVER (PARTITION BY tid ORDER BY CASE WHEN strand>0 THEN s ELSE -s END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::BIGINT AS off FROM exon),
-    r AS (SELECT tid, 5 AS a, (e-s)//2+3 AS b FROM tx)
+    views("tx", "exon") + """, o AS (SELECT *, coalesce(sum(e-s) OVER (PARTITION BY tid ORDER BY CASE WHEN strand>0 THEN s ELSE -s END, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::BIGINT AS off FROM exon),
+    r AS (SELECT DISTINCT tid, 5 AS a, (e-s)//2+3 AS b FROM tx)
     SELECT r.tid, a, b, CASE WHEN strand>0 THEN s+greatest(a-off,0) ELSE e-least(b-off,e-s) END AS g_s, CASE WHEN strand>0 THEN s+least(b-off,e-s) ELSE e-greatest(a-off,0) END AS g_e,
-    (row_number() OVER (PARTITION BY r.tid ORDER BY off)-1)::INTEGER AS segment FROM r JOIN o ON r.tid=o.tid AND a<off+e-s AND off<b""",
+    (row_number() OVER (PARTITION BY r.tid, a, b ORDER BY off)-1)::INTEGER AS segment FROM r JOIN o ON r.tid=o.tid AND a<off+e-s AND off<b""",
 )
 def spliced(spark, d):
-    ranges = tx(spark, d).select("tid", F.lit(5).alias("a"), (F.expr("(e - s) div 2") + 3).alias("b"))
+    ranges = tx(spark, d).select("tid", F.lit(5).alias("a"), (F.expr("(e - s) div 2") + 3).alias("b")).distinct()
     return iv.spliced_to_genomic(ranges, exons(spark, d), "tid")
 
 

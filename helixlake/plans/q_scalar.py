@@ -166,17 +166,23 @@ def try_cast(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "x1").otherwise(F.col("o_custkey").cast("string")).try_cast("bigint").alias("v"))
 
 
-@query("seq1_spliced", f"WITH s AS (SELECT doc_id, translate(regexp_replace({_SEQ},'[^ACGTU]','N','g'),'T','U') AS q FROM documents), x AS (SELECT doc_id, substring(q,3,20) || substring(q,41,30) AS w FROM s) SELECT doc_id, CASE WHEN doc_id%2=0 THEN w ELSE reverse(translate(w,'ACGUN','UGCAN')) END AS seq FROM x")
+def _two_blocks():
+    """The second sixth of a sequence, and the third that begins at its middle."""
+    block = lambda a, b: F.struct(F.expr(a).cast("int").alias("start"), F.expr(b).cast("int").alias("end"))
+    return F.array(block("length(seq) div 6", "length(seq) div 6 * 2"), block("length(seq) div 2", "length(seq) div 2 + length(seq) div 3"))
+
+
+@query("seq1_spliced", f"WITH s AS (SELECT doc_id, translate(regexp_replace({_SEQ},'[^ACGTU]','N','g'),'T','U') AS q FROM documents), x AS (SELECT doc_id, substring(q,length(q)//6+1,length(q)//6) || substring(q,length(q)//2+1,length(q)//3) AS w FROM s) SELECT doc_id, CASE WHEN doc_id%2=0 THEN w ELSE reverse(translate(w,'ACGUN','UGCAN')) END AS seq FROM x")
 def spliced(spark, d):
     s = _seq(spark, d).withColumn("seq", F.regexp_replace("seq", "[^ACGTU]", "N"))
-    blocks = F.array(F.struct(F.lit(2).alias("start"), F.lit(22).alias("end")), F.struct(F.lit(40).alias("start"), F.lit(70).alias("end")))
+    blocks = _two_blocks()
     return s.select("doc_id", sc.spliced("seq", blocks, F.col("doc_id") % 2 != 0).alias("seq"))
 
 
-@query("seq2_exonic", f"WITH s AS (SELECT doc_id, translate(regexp_replace({_SEQ},'[^ACGTU]','N','g'),'T','U') AS q FROM documents) SELECT doc_id, CASE WHEN doc_id%2=0 THEN substring(q,3,20) || substring(q,41,30) ELSE reverse(translate(substring(q,3,20),'ACGUN','UGCAN')) || reverse(translate(substring(q,41,30),'ACGUN','UGCAN')) END AS seq FROM s")
+@query("seq2_exonic", f"WITH s AS (SELECT doc_id, translate(regexp_replace({_SEQ},'[^ACGTU]','N','g'),'T','U') AS q FROM documents) SELECT doc_id, CASE WHEN doc_id%2=0 THEN substring(q,length(q)//6+1,length(q)//6) || substring(q,length(q)//2+1,length(q)//3) ELSE reverse(translate(substring(q,length(q)//6+1,length(q)//6),'ACGUN','UGCAN')) || reverse(translate(substring(q,length(q)//2+1,length(q)//3),'ACGUN','UGCAN')) END AS seq FROM s")
 def exonic(spark, d):
     s = _seq(spark, d).withColumn("seq", F.regexp_replace("seq", "[^ACGTU]", "N"))
-    blocks = F.array(F.struct(F.lit(2).alias("start"), F.lit(22).alias("end")), F.struct(F.lit(40).alias("start"), F.lit(70).alias("end")))
+    blocks = _two_blocks()
     return s.select("doc_id", sc.spliced("seq", blocks, F.col("doc_id") % 2 != 0, per_block=True).alias("seq"))
 
 
@@ -191,11 +197,13 @@ def window_rows(spark, d):
     return _seq(spark, d).select("doc_id", F.posexplode(sc.windows("seq", 96, 4)).alias("pos", "w"))
 
 
-@query("seq4_end_candidates", views("tx") + " SELECT tid, p::INTEGER AS shift, e+p AS e FROM tx, range(-5,6) r(p) WHERE e-s+p>=floor((e-s)*0.97) AND e-s+p<=floor((e-s)*1.02) AND e+p<=2000000")
+@query("seq4_end_candidates", views("tx") + ", z AS (SELECT chrom, max(e) AS size FROM tx GROUP BY 1) SELECT tid, p::INTEGER AS shift, e+p AS e FROM tx JOIN z USING (chrom), range(-5,6) r(p) WHERE e-s+p>=floor((e-s)*0.97) AND e-s+p<=floor((e-s)*1.02) AND e+p<=size")
 def end_candidates(spark, d):
     from helixlake.operators.alignment import end_candidates as candidates
 
-    t = tx(spark, d).withColumns({"len": F.col("e") - F.col("s"), "ref_len": F.col("e") - F.col("s"), "limit": F.lit(2_000_000)})
+    t = tx(spark, d)
+    sizes = t.groupBy("chrom").agg(F.max("e").alias("limit"))  # one row per chromosome
+    t = t.join(F.broadcast(sizes), "chrom").withColumns({"len": F.col("e") - F.col("s"), "ref_len": F.col("e") - F.col("s")})
     return candidates(t, "len", "e", "limit", 5, 0.97, 1.02).select("tid", "shift", (F.col("e") + F.col("shift")).alias("e"))
 
 

@@ -102,11 +102,11 @@ def chain_scan(spark, d):
     return found.select("chain_id", "block", "s", "e", "q_s", "q_strand")
 
 
-@query("src8_random_access", f"WITH s AS (SELECT doc_id, {_SEQ} AS q FROM documents) SELECT doc_id, substring(q, 101, 200) AS seq FROM s WHERE length(q)>100")
+@query("src8_random_access", f"WITH s AS (SELECT doc_id, {_SEQ} AS q FROM documents) SELECT doc_id, substring(q, length(q)//3+1, length(q)//2) AS seq FROM s WHERE length(q)>1")
 def random_access(spark, d):
     s = _seq(spark, d).select(F.col("doc_id").cast("string").alias("chrom"), "doc_id", "seq")
-    ranges = s.select("doc_id", "chrom", F.lit(100).cast("bigint").alias("s"), F.lit(300).cast("bigint").alias("e"))
-    return readers.fetch(ranges, readers.sequence_chunks(s.select("chrom", "seq"), 128), "doc_id", 128).where("seq <> ''")
+    ranges = s.where("length(seq) > 1").select("doc_id", "chrom", F.expr("length(seq) div 3").alias("s"), F.expr("length(seq) div 3 + length(seq) div 2").alias("e"))
+    return readers.fetch(ranges, readers.sequence_chunks(s.select("chrom", "seq"), 128), "doc_id", 128)
 
 
 @query("src10_nested_scan", "SELECT user_id, event_id, event_type FROM events")

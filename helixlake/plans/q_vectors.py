@@ -30,14 +30,10 @@ def logistic(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(vx.logistic_score("embedding", WEIGHTS, 0.1), 6).alias("p"))
 
 
-def _label(spark, d, label):
-    return table(spark, d, "embeddings").where(F.col("label") == label).select("label", F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
-
-
-@query("emb6_squared_distances", "SELECT a.vec_id AS pos, b.vec_id AS pos_b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])**2,6) AS d2 FROM embeddings a JOIN embeddings b ON a.label=3 AND b.label=3 AND a.vec_id<b.vec_id")
+@query("emb6_squared_distances", "SELECT a.label, a.vec_id AS pos, b.vec_id AS pos_b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])**2,6) AS d2 FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<b.vec_id")
 def squared(spark, d):
-    a = _label(spark, d, 3)
-    return vx.pair_distances(a, a, ["label"]).where("pos < pos_b").select("pos", "pos_b", F.round("d2", 6).alias("d2"))
+    a = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
+    return vx.pair_distances(a, a, ["label"]).where("pos < pos_b").select("label", "pos", "pos_b", F.round("d2", 6).alias("d2"))
 
 
 @query("emb7_gamma", "WITH p AS (SELECT a.label, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a JOIN embeddings b ON a.label=b.label WHERE a.vec_id<>b.vec_id) SELECT label, round(1.0/(2.0*quantile_cont(dist,0.5)**2+1e-10),6) AS gamma FROM p GROUP BY 1")
@@ -59,7 +55,14 @@ def _windows(spark, d, odd):
     return e.groupBy("label", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "v"))), lambda x: x["v"]).alias("rows"))
 
 
-@query("emb9_mmd_matrix")
+@query("emb9_mmd_matrix", """WITH w AS (SELECT label, vec_id//40 AS i, vec_id%2 AS odd, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+  n AS (SELECT label, i, odd, count(*) AS n FROM w GROUP BY ALL),
+  m AS (SELECT label, i, odd, list(c ORDER BY k) AS c FROM (SELECT label, i, odd, k, avg(e[k]) AS c FROM w, range(1,65) r(k) GROUP BY ALL) GROUP BY ALL),
+  s AS (SELECT a.label, a.i, a.odd, avg(exp(-0.5*list_distance(a.e,b.e)**2)) AS k FROM w a JOIN w b ON a.label=b.label AND a.i=b.i AND a.odd=b.odd AND a.vec_id<>b.vec_id GROUP BY ALL),
+  x AS (SELECT a.label, a.i, b.i AS j, avg(exp(-0.5*list_distance(a.e,b.e)**2)) AS k FROM w a JOIN w b ON a.label=b.label AND a.odd=0 AND b.odd=1 GROUP BY ALL)
+  SELECT x.label, x.i, x.j, CASE WHEN list_distance(p.c,q.c)>3 OR sp.k IS NULL OR sq.k IS NULL THEN 1.0 ELSE round(sqrt(greatest(0, sp.k+sq.k-2*x.k)),6) END AS mmd FROM x
+  JOIN m p ON p.label=x.label AND p.i=x.i AND p.odd=0 JOIN m q ON q.label=x.label AND q.i=x.j AND q.odd=1
+  LEFT JOIN s sp ON sp.label=x.label AND sp.i=x.i AND sp.odd=0 LEFT JOIN s sq ON sq.label=x.label AND sq.i=x.j AND sq.odd=1""")
 def mmd_matrix(spark, d):
     m = vx.mmd_matrix(_windows(spark, d, 0), _windows(spark, d, 1), "label", g=0.5)
     return m.withColumn("mmd", F.round("mmd", 6))
@@ -71,10 +74,13 @@ def displacement(spark, d):
     return vx.displacement(e, ["g"], "vec_id", "embedding").select("vec_id", F.round("shift", 6).alias("shift"))
 
 
-@query("emb1_embed")
+@query("emb1_embed", """WITH k AS (SELECT doc_id, md5(substring(text, i, 4)) AS h FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text)-2, 1))) AS i FROM documents)),
+  c AS (SELECT doc_id, ('0x' || h[1:2])::INTEGER % 16 AS k, sum(CASE WHEN ('0x' || h[3:4])::INTEGER % 2=1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM k GROUP BY 1, 2),
+  n AS (SELECT doc_id, sqrt(sum(x*x)) AS n FROM c GROUP BY 1)
+  SELECT doc_id, r.k::INTEGER AS k, CASE WHEN n>0 THEN round(coalesce(x,0)/n,6) ELSE 0 END AS x FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) d CROSS JOIN range(0,16) r(k) LEFT JOIN c USING (doc_id, k) LEFT JOIN n USING (doc_id)""")
 def embed(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.col("text").alias("s"))
-    return vx.embed(s, "s").select("doc_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    s = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("s"))
+    return vx.embed(s, "s").select("doc_id", F.posexplode("v").alias("k", "x")).withColumn("x", F.round("x", 6))
 
 
 def _cells(spark, d):

@@ -117,6 +117,33 @@ def read_arrays(path: str) -> dict:
         return {k: z[k] for k in z.files}
 
 
+def scan_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, i, j, value): the cells of the one- and two-dimensional arrays of .npz files, read by Spark's binary reader."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def cells(frames):
+        for frame in frames:
+            for file, content in zip(frame["path"], frame["content"], strict=True):
+                with np.load(io.BytesIO(content)) as z:
+                    for name in z.files:
+                        x = z[name].reshape(len(z[name]), -1).astype(float)
+                        i, j = np.divmod(np.arange(x.size), max(1, x.shape[1]))
+                        yield pd.DataFrame({"file": file, "name": name, "i": i, "j": j, "value": x.ravel()})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+    return files.mapInPandas(cells, "file string, name string, i long, j long, value double")
+
+
+def read_report(spark: SparkSession, path: str, schema: StructType, kind: str) -> DataFrame:
+    """A report written by ``write_report``."""
+    if kind == "json":
+        return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).csv(path, sep="\t" if kind == "tsv" else ",", header=True)
+
+
 class ChainSource(DataSource):
     """Alignment chains as block rows. Options: path, minScore (25000 by default; chains below it are skipped while reading)."""
 

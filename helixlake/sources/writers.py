@@ -50,6 +50,61 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").text(path)
 
 
+def write_report(df: DataFrame, path: str, kind: str) -> None:
+    """A tsv or csv table with a header, or json lines."""
+    if kind == "json":
+        df.write.mode("overwrite").json(path)
+    elif kind in ("tsv", "csv"):
+        df.write.mode("overwrite").csv(path, sep="\t" if kind == "tsv" else ",", header=True)
+    else:
+        raise ValueError(f"no report of kind {kind}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file (a model) in any store that Spark writes to."""
+    fs, p = _file_system(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def write_model(spark: SparkSession, path: str, model: dict) -> None:
+    write_file(spark, path, json.dumps(model, sort_keys=True).encode())
+
+
+def write_arrays(spark: SparkSession, path: str, arrays: dict) -> None:
+    """An .npz file of a model's arrays."""
+    import io
+
+    import numpy as np
+
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    write_file(spark, path, held.getvalue())
+
+
+def entries(spark: SparkSession, root: str) -> list[str]:
+    """Names directly below a folder."""
+    fs, p = _file_system(spark, root)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove_temporaries(spark: SparkSession, root: str, prefix: str = "tmp_") -> list[str]:
+    """Removes what a run leaves besides its outputs: entries whose name begins with ``prefix``. Returns their names."""
+    gone = [name for name in entries(spark, root) if name.startswith(prefix)]
+    for name in gone:
+        fs, p = _file_system(spark, f"{root}/{name}")
+        fs.delete(p, True)
+    return gone
+
+
 def layout(root: str) -> dict[str, str]:
     """Canonical places of a run's outputs."""
     names = ("union_transcripts", "orthologous_regions", "short_jobs", "short_results", "reference_islands", "query_clusters", "query_islands", "island_matches", "aligned_islands")
@@ -62,15 +117,10 @@ class Manifest:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
 
-    def _path(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def run(self, stage: str, fingerprint: dict, build) -> DataFrame:
         """Reads the stage's output if its mark matches, else builds, writes and marks it."""
         out, mark = f"{self.root}/{stage}", f"{self.root}/_marks/{stage}"
-        fs, p = self._path(mark)
+        fs, p = _file_system(self.spark, mark)
         wanted = json.dumps(fingerprint, sort_keys=True)
         if fs.exists(p) and self.spark.read.text(mark).first()[0] == wanted:
             return self.spark.read.parquet(out)
@@ -79,5 +129,5 @@ class Manifest:
         return self.spark.read.parquet(out)
 
     def cleanup(self) -> None:
-        fs, p = self._path(f"{self.root}/_marks")
+        fs, p = _file_system(self.spark, f"{self.root}/_marks")
         fs.delete(p, True)
