@@ -30,7 +30,7 @@ def _sum(edges: DataFrame):
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the undirected ``edges`` (a, b) of longs; root is the least node reachable."""
+    """(node, root) for every node of the undirected ``edges`` (a, b) of one orderable type; root is the least node reachable."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
     before = _sum(edges)

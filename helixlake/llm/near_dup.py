@@ -16,15 +16,17 @@ Each component of candidates then meets once with its texts (dealt into tiles ab
 pairs within ``max_bits`` that no verified links tie yet are verified, and verified links make the groups.
 
 Edge cases: null and empty texts are equal texts without words, so they form one group; fewer than
-five words are one shingle; a null id stays only where its whole group has null ids; of repeated
-rows one stays; an empty table gives an empty result; all other columns are carried along.
+five words are one shingle; a very long text is sketched and verified whole, in one task; a null id
+stays only where its whole group has null ids; of rows that share id and text one stays, the least
+by a hash of its columns; an empty table gives an empty result; all other columns are carried along,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -82,10 +84,15 @@ def _sketched(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("node").slice(lo, hi - lo), *lists], names=["id", "node", "wide", "bands"])
 
 
+def _taken(node: pa.Array, at: np.ndarray) -> pa.Array:
+    taken = node.take(pa.array(at))
+    return taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken
+
+
 def _pairs(radius: int, max_bits: int):
     def run(batches):
         for table in grouped(batches, rows=20_000):
-            node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+            node, block = table.column("node").combine_chunks(), table.column("block").to_numpy()
             wide = table.column("wide").combine_chunks().flatten().to_numpy().view(_U).reshape(len(node), -1)
             label = np.arange(len(node))
             for i, j in HammingIndex(block, wide[:, 0].copy()).pairs(radius, 1_000_000):
@@ -95,7 +102,7 @@ def _pairs(radius: int, max_bits: int):
                 near = apart <= max_bits
                 label = forest(len(node), i[near], j[near], label)
             tied = np.flatnonzero(label != np.arange(len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[label[tied]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([_taken(node, tied), _taken(node, label[tied])], names=["a", "b"])
 
     return run
 
@@ -123,7 +130,7 @@ def verified_links(wide: np.ndarray, sets: list[np.ndarray], max_bits: int, leas
 def _verified(max_bits: int, least: float, rows: int):
     def run(batches):
         for table in grouped(batches, rows=rows):
-            node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+            node, block = table.column("node").combine_chunks(), table.column("block").to_numpy()
             wide = table.column("wide").combine_chunks().flatten().to_numpy().view(_U).reshape(len(node), -1)
             cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
             found = []
@@ -135,7 +142,7 @@ def _verified(max_bits: int, least: float, rows: int):
                         sets += np.split(h, begin[1:])
                     found += [(lo + i, lo + j) for i, j in verified_links(wide[lo:hi], sets, max_bits, least)]
             at = np.array(found, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([_taken(node, at[:, 0]), _taken(node, at[:, 1])], names=["a", "b"])
 
     return run
 
@@ -158,26 +165,30 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each group of near copies (similarity ``least`` or more, directly or over others)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    node = F.xxhash64(F.xxhash64(body), F.xxhash64(F.lit(1), body))
+    node = F.unhex(F.md5(body.cast("binary")))  # 128 bits: different texts do not share one
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), node.alias("node"), body.alias("text"))
-    found = materialize(rows.mapInArrow(_sketched, f"id {id_type}, node long, wide array<long>, bands array<long>"), "sketches")
+    found = materialize(rows.mapInArrow(_sketched, f"id {id_type}, node binary, wide array<long>, bands array<long>"), "sketches")
     texts = found.groupBy("node").agg(F.min("id").alias("least"), F.first("wide").alias("wide"), F.first("bands").alias("bands"))
     texts = materialize(texts, "texts")
     blocks = texts.select("node", "wide", F.posexplode("bands").alias("band", "value")).select("node", "wide", F.xxhash64("band", "value").alias("block"))
     blocks = _dealt(blocks, block_rows, broadcast_rows, "large")
-    links = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_pairs(radius, max_bits), "a long, b long")
+    links = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_pairs(radius, max_bits), "a binary, b binary")
     loose = materialize(components(links), "candidates")
     members = loose.select("node")
     members = F.broadcast(members) if members.count() <= broadcast_rows else members
     bodies = rows.select("node", "text").join(members, "node").groupBy("node").agg(F.first("text").alias("text"))
     groups = _dealt(loose.join(texts.select("node", "wide"), "node").select("node", "wide", F.col("root").alias("block")), group_rows, broadcast_rows, "large_groups")
-    links = groups.join(bodies, "node").repartition("block").sortWithinPartitions("block").mapInArrow(_verified(max_bits, least, group_rows), "a long, b long")
+    links = groups.join(bodies, "node").repartition("block").sortWithinPartitions("block").mapInArrow(_verified(max_bits, least, group_rows), "a binary, b binary")
     tied = components(links)
     root = texts.select("node", "least").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = root.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "node")).alias("kept"))
     first = first.select(F.col("kept.node").alias("__node"), F.col("kept.id").alias("__id"))
     repeated = found.groupBy("node", "id").count().where("count > 1").limit(1).count()
-    kept = docs.withColumn("__node", node)
-    kept = kept.join(first, (kept["__node"] == first["__node"]) & kept[id_col].eqNullSafe(first["__id"]), "left_semi")
-    return (kept.dropDuplicates(["__node"]) if repeated else kept).drop("__node")
+    names = [c for c in docs.columns]
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), node.alias("node"), F.col(id_col).alias("id"))
+    kept = kept.join(first, (kept["node"] == first["__node"]) & kept["id"].eqNullSafe(first["__id"]), "left_semi")
+    if repeated:  # the least of the rows that share id and text, by a hash of all their columns
+        order = F.xxhash64(*(F.col("row")[c] for c in names if "map<" not in docs.schema[c].dataType.simpleString()))
+        kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(order))).where("nth = 1")
+    return kept.select("row.*")
