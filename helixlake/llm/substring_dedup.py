@@ -1,26 +1,30 @@
 """Substring dedup: remove every word covered by a window of words that also starts elsewhere.
 
-Method: a suffix tree of the corpus, cut at the depth of one window (``window`` words) and built in
-parts split by variable-length prefixes.
-
-* Level 1. Each suffix of at least one window's length goes to the part named by the smallest
-  ``gram``-word prefix hash met in its first window: a prefix of one of the suffixes in that window.
-  Equal windows meet in the same part, and neighbouring suffixes share their part, so that a part
-  is one row per *run* of suffixes, not one per suffix. Parts with a single leaf are pruned here:
-  nothing below them repeats. That leaves the copied share of the corpus.
-* Level 2. A part of up to ``part_rows`` runs fits in a task's memory: its suffixes are sorted by
-  the hash label of the path from the root to depth ``window``, and each internal node at that
-  depth (two leaves or more) marks its leaves as repeated.
-* Parts above ``part_rows`` runs (a passage that a large share of all documents holds) get the
-  longest prefix, the whole window: their nodes are (part, path) keys counted with map-side
-  combining, and leaves join their node, so no task ever holds a hot node's leaves.
-
-Exact copies are folded first (one text and a count), which also folds their suffixes.
-A node's identity is 128 bits (64 of the part's prefix and 64 of the path).
-
-Edge cases: a null text has no words; a text under ``window`` words loses nothing; repeated rows
-are separate documents whose windows repeat; a null id is returned like any other; an empty table
-gives an empty result; other columns are ignored and may have any name.
+Method: the suffixes of all texts, in groups split by variable-length prefixes, and in each group
+the subtree of its suffixes down to the depth of one window (``window`` words), whose internal
+nodes at that depth are the repeats.
+
+* Prefixes of ``gram`` words. Each suffix of at least one window's length goes to the group named by
+  the smallest ``gram``-word prefix hash met in its first window: a prefix of one of the suffixes in
+  that window. Equal windows meet in the same group, and neighbouring suffixes share theirs, so that
+  a group has one row per *run* of suffixes, not one per suffix. Groups with a single leaf are
+  pruned here: nothing below them repeats. That leaves the copied share of the corpus.
+* A group of up to ``part_rows`` runs fits in a task's memory. Its rows carry the words themselves.
+  The subtree is built level by level: the nodes at depth 2d are the distinct pairs of nodes at depth
+  d, so the nodes at depth ``window`` are told apart by their words, not by hashes. Each of them
+  with two leaves or more marks its leaves as repeated; a longer repeat is a chain of such nodes.
+* Groups above ``part_rows`` runs (a passage that a large share of all documents holds) get the
+  longest prefix, the whole window: their nodes are (group, 128-bit hash of the window's words) keys
+  counted with map-side combining, and leaves join their node, so no task holds a hot node's leaves.
+
+Exact copies are folded first (one text and a count, told apart by 128 bits), which also folds
+their suffixes.
+
+Edge cases: a null text has no words; a text under ``window`` words loses nothing; a very long text
+is one row of the folded table and is cut whole, in one task; repeated rows are separate documents
+whose windows repeat; a null id is returned like any other; an empty table gives an empty result;
+other columns are carried along, but the text, and any that is named like an output column, are
+replaced.
 """
 
 from __future__ import annotations
@@ -30,9 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .simhash import grouped
 from .store import bucketed, materialize
 from .textops import Block, encoded, gram_hashes, in_blocks, sliding_min
 
@@ -42,13 +48,13 @@ ROW = 32  # suffixes in a row of a run
 def _runs(block: Block, window: int, gram: int):
     """Runs of consecutive windows of a document with the same part: part, first, last window, twice.
 
-    ``twice``: the part's prefix stands at two places of the run. Also gives the window hashes.
+    ``twice``: the part's prefix stands at two places of the run. Last the document of each run.
     """
     words = block.word_hashes()
     last = block.first[1:] - window  # last window of each document
     if len(words) < window:
         none = np.zeros(0, dtype=np.int64)
-        return np.zeros(0, dtype=np.uint64), none, none, none.astype(bool), none, np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), none, none, none.astype(bool), none
     doc = block.doc_of_word()[: len(words) - window + 1]
     fits = np.arange(len(doc)) <= last[doc]
     grams = gram_hashes(words, gram)
@@ -65,7 +71,7 @@ def _runs(block: Block, window: int, gram: int):
     for lo in range(0, len(first), 1 << 15):
         hi = lo + (1 << 15)
         place[lo:hi] = first[lo:hi] + (grams[first[lo:hi, None] + np.arange(width)] == value[lo:hi, None]).argmax(axis=1)
-    return value, first, final, final > place, of, gram_hashes(words, window)
+    return value, first, final, final > place, of
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Block]]:
@@ -80,7 +86,7 @@ def _anchors(window: int, gram: int):
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
             copies = batch.column("copies").to_numpy()
             for lo, _, block in _blocks(batch):
-                part, _, _, twice, of, _ = _runs(block, window, gram)
+                part, _, _, twice, of = _runs(block, window, gram)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part.view(np.int64)), pa.array(k1[lo + of]), pa.array(k2[lo + of]), pa.array((1 + (twice | (copies[lo + of] > 1))).astype(np.int8))],
                     names=["part", "k1", "k2", "w"],
@@ -90,14 +96,14 @@ def _anchors(window: int, gram: int):
 
 
 def _suffixes(window: int, gram: int):
-    """Rows of up to ROW consecutive suffixes for the parts listed in ``parts``."""
+    """Rows of up to ROW consecutive suffixes for the parts listed in ``parts``, with the words that their first windows span."""
 
     def run(batches):
         for batch in batches:
             k1, k2, copies = (batch.column(c).to_numpy() for c in ("k1", "k2", "copies"))
             wanted = batch.column("parts")
             for lo, hi, block in _blocks(batch):
-                part, first, final, _, of, path = _runs(block, window, gram)
+                part, first, final, _, of = _runs(block, window, gram)
                 keep = np.zeros(len(part), dtype=bool)
                 at = np.searchsorted(of, np.arange(hi - lo + 1))
                 signed = part.view(np.int64)
@@ -109,12 +115,10 @@ def _suffixes(window: int, gram: int):
                     continue
                 rows = (final - first) // ROW + 1  # a long run takes several rows
                 source = np.repeat(np.arange(len(part)), rows)
-                step = np.arange(len(source)) - np.repeat(np.cumsum(rows) - rows, rows)
-                begin = first[source] + step * ROW
-                count = np.minimum(final[source] - begin + 1, ROW)
-                offsets = np.concatenate(([0], np.cumsum(count)))
-                flat = np.repeat(begin - offsets[:-1], count) + np.arange(offsets[-1])
+                begin = first[source] + (np.arange(len(source)) - np.repeat(np.cumsum(rows) - rows, rows)) * ROW
+                last = np.minimum(final[source], begin + ROW - 1) + window - 1
                 of = of[source]
+                spans = zip(block.start[begin].tolist(), block.end[last].tolist(), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(part[source]),
@@ -122,58 +126,78 @@ def _suffixes(window: int, gram: int):
                         pa.array(k2[lo + of]),
                         pa.array((begin - block.first[of]).astype(np.int32)),
                         pa.array(np.where(copies[lo + of] > 1, 2, 1).astype(np.int8)),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(path[flat].view(np.int64))),
+                        pa.array([block.data[a:b] for a, b in spans], pa.binary()),
                     ],
-                    names=["part", "k1", "k2", "start", "w", "paths"],
+                    names=["part", "k1", "k2", "start", "w", "words"],
                 )
 
     return run
 
 
-def _subtrees(batches):
+def nodes_at_depth(words: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
+    """The node that each suffix passes at ``depth`` words: equal numbers for equal first ``depth`` words.
+
+    Levels 1, 2, 4, ... of the tree: a node at depth 2d is a pair of nodes at depth d, so the last
+    level is the pair of nodes that cover the first and the last words of the window.
+    """
+    level, d = words.astype(np.int64), 1
+    while 2 * d <= depth:
+        _, level = np.unique(level[:-d] * (level.max(initial=0) + 1) + level[d:], return_inverse=True)
+        d *= 2
+    pair = level[suffixes] * (level.max(initial=0) + 1) + level[suffixes + depth - d]
+    return np.unique(pair, return_inverse=True)[1]
+
+
+def _subtrees(window: int, rows_at_once: int = 20_000):
     """Input sorted by part. Marks the leaves of nodes at full depth with two leaves or more."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        part, start, w = (table.column(c).to_numpy() for c in ("part", "start", "w"))
-        lists = table.column("paths").chunk(0)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        path = lists.values.to_numpy()[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        row = np.repeat(np.arange(len(part)), np.diff(offsets))
-        order = np.lexsort((path, part[row]))
-        p, q = part[row][order], path[order]
-        node = np.ones(len(order), dtype=bool)
-        node[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-        number = np.cumsum(node) - 1
-        leaves = np.bincount(number, weights=w[row][order])
-        repeated = np.zeros(len(order), dtype=bool)
-        repeated[order] = leaves[number] >= 2
-        bit = np.left_shift(np.int64(1), np.arange(len(row)) - offsets[row])
-        mask = np.zeros(len(part), dtype=np.int64)
-        np.bitwise_or.at(mask, row[repeated], bit[repeated])
+        start, w = (table.column(c).to_numpy() for c in ("start", "w"))
+        lists = pc.ascii_split_whitespace(table.column("words").cast(pa.string()).combine_chunks())
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        begin = lists.offsets.to_numpy().astype(np.int64)
+        begin -= begin[0]
+        words = lists.flatten().dictionary_encode().indices.to_numpy()
+        count = np.diff(begin) - window + 1
+        row = np.repeat(np.arange(len(start)), count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        node = nodes_at_depth(words, begin[row] + step, window)
+        repeated = np.bincount(node, weights=w[row])[node] >= 2
+        mask = np.zeros(len(start), dtype=np.int64)
+        np.bitwise_or.at(mask, row[repeated], np.left_shift(np.int64(1), step[repeated]))
         some = mask != 0
         return pa.RecordBatch.from_arrays(
             [pa.array(table.column("k1").to_numpy()[some]), pa.array(table.column("k2").to_numpy()[some]), pa.array(start[some]), pa.array(mask[some])],
             names=["k1", "k2", "start", "mask"],
         )
 
-    held, rows = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < 50_000:
-            continue
-        table = pa.Table.from_batches(held)
-        part = table.column("part").to_numpy()
-        cut = int(np.searchsorted(part, part[-1]))  # the last part may go on in the next batch
-        if cut:
-            yield solve(table.slice(0, cut))
-            held, rows = table.slice(cut).to_batches(), len(part) - cut
-    if rows:
-        yield solve(pa.Table.from_batches(held))
+    def run(batches):
+        for table in grouped(batches, "part", rows_at_once):
+            yield solve(table)
+
+    return run
+
+
+def _leaves(window: int):
+    """A row per suffix with the 128-bit hash of its window's words."""
+
+    def run(batches):
+        for batch in batches:
+            source, start, path = [], [], []
+            for i, (begin, text) in enumerate(zip(batch.column("start").to_pylist(), batch.column("words").to_pylist(), strict=True)):
+                words = text.split()
+                for j in range(len(words) - window + 1):
+                    source.append(i)
+                    start.append(begin + j)
+                    path.append(hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest())
+            at = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in ("part", "k1", "k2")), pa.array(start, pa.int32()), batch.column("w").take(at), pa.array(path, pa.binary())],
+                names=["part", "k1", "k2", "start", "w", "path"],
+            )
+
+    return run
 
 
 def _kept(window: int, with_text: bool):
@@ -214,7 +238,7 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"__k1": F.xxhash64(body), "__k2": F.xxhash64(F.lit(1), body)})
 
 
-def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8, part_rows: int = 4096, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8, part_rows: int = 2048, with_text: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` but the text, with n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     ``kept_text`` is the untouched text where no word is removed, else the kept words joined by one space.
@@ -233,16 +257,16 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, gram:
         F.collect_set(F.when(F.col("runs") <= part_rows, F.col("part"))).alias("cold"), F.collect_set(F.when(F.col("runs") > part_rows, F.col("part"))).alias("hot")
     )
     wanted = materialize(wanted, "parts")
-    shape = "part long, k1 long, k2 long, start int, w byte, paths array<long>"
+    shape = "part long, k1 long, k2 long, start int, w byte, words binary"
 
     def suffixes(kind: str) -> DataFrame:
         some = wanted.where(F.size(kind) > 0).select("k1", "k2", F.col(kind).alias("parts"))
         return folded.join(some, ["k1", "k2"]).mapInArrow(_suffixes(window, gram), shape)
 
-    found = suffixes("cold").repartition("part").sortWithinPartitions("part").mapInArrow(_subtrees, "k1 long, k2 long, start int, mask long")
+    found = suffixes("cold").repartition("part").sortWithinPartitions("part").mapInArrow(_subtrees(window), "k1 long, k2 long, start int, mask long")
     if not wanted.where(F.size("hot") > 0).isEmpty():
-        leaves = suffixes("hot").select("part", "k1", "k2", "start", "w", F.posexplode("paths").alias("i", "path"))
-        leaves = materialize(leaves.select("part", "path", "k1", "k2", (F.col("start") + F.col("i")).alias("start"), "w"), "leaves")
+        leaves = suffixes("hot").mapInArrow(_leaves(window), "part long, k1 long, k2 long, start int, w byte, path binary")
+        leaves = materialize(leaves, "leaves")
         nodes = leaves.groupBy("part", "path").agg(F.sum("w").alias("leaves")).where("leaves > 1").select("part", "path")
         found = found.unionByName(leaves.join(nodes, ["part", "path"]).select("k1", "k2", "start", F.lit(1).cast("long").alias("mask")))
     marks = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("found"))

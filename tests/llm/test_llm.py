@@ -74,7 +74,26 @@ def brute_windows(docs, n):
     return out
 
 
-@pytest.mark.parametrize("part_rows", [4096, 1])
+def test_subtrees_tell_words_not_hashes():
+    """Windows of one part (as if their word hashes met) repeat only where their words do; nodes against brute force at all depths."""
+    import pyarrow as pa
+
+    texts = [b"a b c d e f", b"a b  c d x f", b"q a b c\td", b"z z z z z z"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7] * 4, pa.int64()), pa.array([0, 1, 2, 3]), pa.array([0] * 4), pa.array([5, 0, 0, 0], pa.int32()), pa.array([1] * 4, pa.int8()), pa.array(texts, pa.binary())],
+        names=["part", "k1", "k2", "start", "w", "words"],
+    )
+    got = {(r["k1"], r["start"]): r["mask"] for out in substring_dedup._subtrees(4)([batch]) for r in out.to_pylist()}
+    assert got == {(0, 5): 0b001, (1, 0): 0b001, (2, 0): 0b10, (3, 0): 0b111}
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 3, 400)
+    for depth in (1, 2, 3, 5, 8, 13):
+        at = np.arange(len(words) - depth + 1)
+        node = substring_dedup.nodes_at_depth(words, at, depth)
+        assert len({(n, tuple(words[i : i + depth])) for n, i in zip(node.tolist(), at.tolist(), strict=True)}) == len(set(node.tolist())) == len({tuple(words[i : i + depth]) for i in at})
+
+
+@pytest.mark.parametrize("part_rows", [4096, 3, 1])
 def test_substring_dedup(spark, odd, empty, part_rows):
     docs = pairs(odd)
     want = Counter((d, *x) for (d, _), x in zip(docs, brute_windows([words(t) for _, t in docs], 35), strict=True))
