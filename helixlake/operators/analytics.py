@@ -68,7 +68,8 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> Dat
 
 def reach_curve(df: DataFrame, per: str, member: str, most: int) -> DataFrame:
     """Share of ``per`` keys that are seen with at least k distinct members, k = 1..most."""
-    n = df.groupBy(per).agg(F.countDistinct(member).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("keys"))
+    # more than ``most`` members count as ``most``, so the broadcast side has at most that many rows
+    n = df.groupBy(per).agg(F.least(F.countDistinct(member), F.lit(most)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("keys"))
     k = df.sparkSession.range(1, most + 1).select(F.col("id").alias("k"))
     return k.join(F.broadcast(n), F.lit(True), "cross").groupBy("k").agg((F.sum(F.when(F.col("n") >= F.col("k"), F.col("keys")).otherwise(0)) / F.sum("keys")).alias("share"))
 
@@ -89,20 +90,36 @@ def _score_counts(df: DataFrame, score: str, label: Column) -> DataFrame:
     return df.groupBy(F.col(score).alias("score")).agg(F.count_if(label).alias("pos"), F.count_if(~label).alias("neg"))
 
 
+def running_sums(df: DataFrame, order: str, columns: list[str], ranges: int = 64) -> DataFrame:
+    """Adds {c}_before and {c}_total: the sums of each column over all rows of smaller ``order``, and over all rows.
+
+    ``order`` must be distinct. Rows are dealt to ranges by approximate quantiles, summed up within
+    each range, and the ranges' totals (``ranges`` rows at most) carry over; no task sees all rows.
+    """
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    cuts = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    rows = df.withColumn("__range", F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(order).cast("double"))), F.lit(0)))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("__range").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
+    totals = totals.select(
+        "__range", *(F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in columns), *(F.sum(f"__{c}").over(Window.partitionBy()).alias(f"{c}_total") for c in columns)
+    )
+    inside = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(F.broadcast(totals), "__range")  # at most ``ranges`` rows
+    return rows.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__{c}") for c in columns}).drop("__range", *(f"__{c}" for c in columns))
+
+
 def auc(df: DataFrame, score: str, label: Column) -> DataFrame:
     """Rank-sum area under the curve; ties share their rank. Rows are counted per distinct score before they are ordered."""
-    counts = _score_counts(df, score, label)
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    terms = counts.withColumn("below", below)
-    return terms.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / F.lit(2.0).cast("double"))) / (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    terms = running_sums(_score_counts(df, score, label), "score", ["neg"])
+    return terms.agg((F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0).cast("double"))) / (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def roc(df: DataFrame, score: str, label: Column) -> DataFrame:
     """(score, tpr, fpr) at each distinct threshold, highest first."""
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = _score_counts(df, score, label).withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
-    total = Window.partitionBy()
-    return c.select("score", (F.col("tp") / F.sum("pos").over(total)).alias("tpr"), (F.col("fp") / F.sum("neg").over(total)).alias("fpr"))
+    c = running_sums(_score_counts(df, score, label), "score", ["pos", "neg"])
+    rate = lambda x: (F.col(f"{x}_total") - F.col(f"{x}_before")) / F.col(f"{x}_total")
+    return c.select("score", rate("pos").alias("tpr"), rate("neg").alias("fpr"))
 
 
 def average_rank(value: str, by: list[str]) -> Column:

@@ -9,12 +9,14 @@ positions makes some 120 000 narrow rows under it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.operators.graphs import min_labels
 
-BIN = 2048
+BIN, CELL = 2048, 1 << 20
 
 
 def _binned(df: DataFrame, s: str, e: str, width: int) -> DataFrame:
@@ -44,13 +46,31 @@ def overlap_semi(a: DataFrame, b: DataFrame, on: list[str], pad: int = 0, width:
     return a.join(hit, [*on, "s", "e"], "left_anti" if anti else "left_semi").select(*a.columns)
 
 
-def with_groups(df: DataFrame, on: list[str], gap: int = 0, touching: bool = False, name: str = "grp") -> DataFrame:
-    """Numbers, per key, the runs of intervals that overlap (or touch, or lie within ``gap``), in order of start."""
-    w = Window.partitionBy(*on).orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)) + gap
+def _carried(df: DataFrame, summary: DataFrame, on: list[str]) -> DataFrame:
+    """Adds what a summary (on, __cell, ...) says of each row's cell; keys may be null."""
+    other = summary.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate([*on, "__cell"])), *(c for c in summary.columns if c not in (*on, "__cell")))
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*on, "__cell"])]
+    return df.join(other, reduce(Column.__and__, same), "left").drop(*(f"__k{i}" for i in range(len(on) + 1)))
+
+
+def with_groups(df: DataFrame, on: list[str], gap: int = 0, touching: bool = False, name: str = "grp", cell: int = CELL) -> DataFrame:
+    """Numbers, per key, the runs of intervals that overlap (or touch, or lie within ``gap``), in order of start.
+
+    Two levels, so that a key with a large share of all rows is many tasks: rows are ordered within
+    cells of ``cell`` positions, and running maxima and group numbers are carried over from cell to
+    cell by windows over one row per cell.
+    """
+    rows = df.withColumn("__cell", F.floor(F.col("s") / cell))
+    inside = Window.partitionBy(*on, "__cell").orderBy("s", "e")
+    earlier = Window.partitionBy(*on).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*on, "__cell").agg(F.max("e").alias("__top"))
+    rows = _carried(rows, tops.select(*on, "__cell", F.max("__top").over(earlier).alias("__carry")), on)
+    reach = F.greatest("__carry", F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1))) + gap
     new = reach.isNull() | (F.col("s") > reach if touching else F.col("s") >= reach)
-    flagged = df.withColumn("__new", new.cast("bigint"))
-    return flagged.withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    rows = rows.withColumn("__new", new.cast("bigint")).withColumn("__nth", F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = rows.groupBy(*on, "__cell").agg(F.sum("__new").alias("__starts"))
+    rows = _carried(rows.drop("__new", "__carry"), starts.select(*on, "__cell", F.coalesce(F.sum("__starts").over(earlier), F.lit(0)).alias("__before")), on)
+    return rows.withColumn(name, F.col("__nth") + F.col("__before")).drop("__cell", "__nth", "__before")
 
 
 def merge(df: DataFrame, on: list[str], gap: int = 0, touching: bool = False) -> DataFrame:

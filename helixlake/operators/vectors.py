@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,9 +220,9 @@ def _kmer(kmer: str) -> tuple[int, int]:
 def kmer_embedding(seq: str, k: int = 4, width: int = 16) -> list[float]:
     """A deterministic stand-in for model embeddings: signed hashed k-mer frequencies, unit length."""
     v = np.zeros(width)
-    for i in range(len(seq) - k + 1):
-        at, sign = _kmer(seq[i : i + k])
-        v[at % width] += sign
+    for kmer, n in Counter(map("".join, zip(*(seq[i:] for i in range(k)), strict=False))).items():
+        at, sign = _kmer(kmer)
+        v[at % width] += sign * n
     n = np.linalg.norm(v)
     return (v / n if n else v).tolist()
 

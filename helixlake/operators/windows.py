@@ -32,9 +32,18 @@ def mask_runs(df: DataFrame, by: list[str], pos: str, on: Column, stride: int, w
 
 
 def next_overlaps(df: DataFrame, by: list[str]) -> DataFrame:
-    """Adds ``clash``: the next interval of the key begins before this one ends."""
-    nxt = F.lead("s").over(Window.partitionBy(*by).orderBy("s", "e"))
-    return df.withColumn("clash", F.coalesce(nxt < F.col("e"), F.lit(False)))
+    """Adds ``clash``: the next interval of the key begins before this one ends.
+
+    The next one is looked for within a cell of positions; the last row of a cell takes the first
+    start of the next cell from a window over one row per cell.
+    """
+    from helixlake.operators.intervals import CELL, _carried
+
+    rows = df.withColumn("__cell", F.floor(F.col("s") / CELL))
+    firsts = rows.groupBy(*by, "__cell").agg(F.min("s").alias("__first"))
+    rows = _carried(rows, firsts.select(*by, "__cell", F.lead("__first").over(Window.partitionBy(*by).orderBy("__cell")).alias("__next")), by)
+    nxt = F.coalesce(F.lead("s").over(Window.partitionBy(*by, "__cell").orderBy("s", "e")), F.col("__next"))
+    return rows.withColumn("clash", F.coalesce(nxt < F.col("e"), F.lit(False))).drop("__cell", "__next")
 
 
 def hash_order(key: Column, seed: int) -> Column:

@@ -96,10 +96,7 @@ def chain_scan(spark, d):
                        F.when(F.col("strand") < 0, "-").otherwise("+"), F.expr("s + 500"), F.expr("s + 520 + 2 * third + quarter"), "chain_id")
     step = F.concat_ws(" ", "quarter", F.expr("third - quarter"), F.expr("third - quarter + 10"))
     writers.write_lines(c.select(F.concat_ws("\n", head, step, step, F.col("quarter").cast("string"), F.lit("")).alias("value")), path)
-    readers.register(spark)
-    files = ",".join(f.removeprefix("file://") for f in spark.read.text(path).inputFiles())
-    found = spark.read.format("chains").option("path", files).option("minScore", "25000").load()
-    return found.select("chain_id", "block", "s", "e", "q_s", "q_strand")
+    return readers.read_chains(spark, path, 25_000).select("chain_id", "block", "s", "e", "q_s", "q_strand")
 
 
 @query("src8_random_access", f"WITH s AS (SELECT doc_id, {_SEQ} AS q FROM documents) SELECT doc_id, substring(q, length(q)//3+1, length(q)//2) AS seq FROM s WHERE length(q)>1")

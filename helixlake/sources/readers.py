@@ -144,15 +144,50 @@ def read_report(spark: SparkSession, path: str, schema: StructType, kind: str) -
     return spark.read.schema(schema).csv(path, sep="\t" if kind == "tsv" else ",", header=True)
 
 
+CHAIN_BLOCKS = "chain_id long, score long, chrom string, t_size long, q_chrom string, q_size long, q_strand int, block int, s long, e long, q_s long"
+
+
+def read_chains(spark: SparkSession, path: str, min_score: int = 25_000) -> DataFrame:
+    """Alignment chains as block rows, from any store that Spark reads.
+
+    Records are split at blank lines by Spark's text reader, so a large file is read by many tasks
+    (a gz file by one); chains below ``min_score`` are dropped by their header before they are parsed.
+    """
+    import numpy as np
+    import pandas as pd
+
+    names = [c.split()[0] for c in CHAIN_BLOCKS.split(", ")]
+
+    def parse(frames):
+        for frame in frames:
+            found = []
+            for record in frame["value"]:
+                lines = [x for x in record.split("\n") if x.strip() and not x.startswith("#")]
+                f = lines[0].split()
+                rows = [x.split() for x in lines[1:]]
+                size = np.array([int(r[0]) for r in rows], dtype=np.int64)
+                gaps = np.array([[int(r[1]), int(r[2])] if len(r) == 3 else [0, 0] for r in rows], dtype=np.int64).reshape(-1, 2)
+                steps = np.cumsum(size[:, None] + gaps, axis=0) - (size[:, None] + gaps)  # of the target and of the query before each block
+                head = (int(f[12]), int(f[1]), f[2], int(f[3]), f[7], int(f[8]), -1 if f[9] == "-" else 1)
+                made = pd.DataFrame({"block": np.arange(len(rows)), "s": int(f[5]) + steps[:, 0], "e": int(f[5]) + steps[:, 0] + size, "q_s": int(f[10]) + steps[:, 1]})
+                found.append(made.assign(**dict(zip(names[:7], head, strict=True))))
+            if found:
+                yield pd.concat(found)[names]
+
+    records = spark.read.option("lineSep", "\n\n").text(path).select(F.regexp_replace("value", r"\A(?:\s|#[^\n]*\n)*", "").alias("value"))
+    score = F.split(F.substring_index("value", "\n", 1), r"\s+")[1].try_cast("bigint")
+    return records.where(F.col("value").startswith("chain") & (score >= min_score)).mapInPandas(parse, CHAIN_BLOCKS)
+
+
 class ChainSource(DataSource):
-    """Alignment chains as block rows. Options: path, minScore (25000 by default; chains below it are skipped while reading)."""
+    """Alignment chains of files that every executor can open, as block rows; ``read_chains`` reads any store. Options: path, minScore (25000 by default; chains below it are skipped while reading)."""
 
     @classmethod
     def name(cls) -> str:
         return "chains"
 
     def schema(self) -> str:
-        return "chain_id long, score long, chrom string, t_size long, q_chrom string, q_size long, q_strand int, block int, s long, e long, q_s long"
+        return CHAIN_BLOCKS
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return ChainReader(self.options)

@@ -243,3 +243,52 @@ def test_batch_sweep_stops_at_the_first_failure():
 
     tried, suggested = monitor.sweep_batches(work, range(64, 1025, 64), warm_ups=1)
     assert tried == [(64, True), (128, True), (192, True), (256, False)] and suggested == 128 and calls.count(64) == 2
+
+
+@pytest.mark.parametrize(("gap", "touching"), [(0, False), (0, True), (3, True)])
+def test_groups_over_cells(spark, gap, touching):
+    """Group numbers do not depend on the cells that rows are ordered in; null keys are a key."""
+    rng = np.random.default_rng(6)
+    rows = [(k, int(s), int(s + n)) for k in ("a", "b", None) for s, n in zip(rng.integers(-50, 300, 40), rng.choice([1, 2, 5, 60], 40), strict=True)]
+    df = spark.createDataFrame(rows, "k string, s bigint, e bigint")
+    want = []
+    for key in ("a", "b", None):
+        reach, number = None, 0
+        for _, s, e in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]):
+            if reach is None or (s > reach + gap if touching else s >= reach + gap):
+                number += 1
+            reach = e if reach is None else max(reach, e)
+            want.append((key, s, e, number))
+    for cell in (8, 64, 1 << 20):
+        got = [tuple(r) for r in iv.with_groups(df, ["k"], gap, touching, cell=cell).select("k", "s", "e", "grp").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_next_overlap_over_cells(spark, monkeypatch):
+    from helixlake.operators import windows as wn
+
+    monkeypatch.setattr(iv, "CELL", 16)
+    rows = [("a", 0, 40), ("a", 30, 31), ("a", 90, 95), ("a", 95, 99), ("b", 5, 200), ("b", 199, 300), (None, 1, 9), (None, 8, 10)]
+    got = wn.next_overlaps(spark.createDataFrame(rows, "k string, s bigint, e bigint"), ["k"]).collect()
+    assert {(r["k"], r["s"]) for r in got if r["clash"]} == {("a", 0), ("b", 5), (None, 1)} and len(got) == 8
+
+
+def test_running_sums_over_ranges(spark):
+    rng = np.random.default_rng(8)
+    score = np.unique(rng.normal(size=300))
+    df = spark.createDataFrame([(float(x), int(n)) for x, n in zip(score, rng.integers(0, 9, len(score)), strict=True)], "score double, n bigint")
+    for ranges in (1, 7, 64):
+        got = sorted(tuple(r) for r in an.running_sums(df, "score", ["n"], ranges).select("score", "n", "n_before", "n_total").collect())
+        n = np.array([r[1] for r in got])
+        assert [r[2] for r in got] == list(np.cumsum(n) - n) and {r[3] for r in got} == {n.sum()}
+    assert an.running_sums(df.limit(0), "score", ["n"]).count() == 0
+
+
+def test_chains_of_any_store(spark, tmp_path):
+    from helixlake.sources import readers
+
+    chain = "chain 30000 chr1 1000 + 10 60 q 900 - 5 50 7\n20 10 5\n20\n"
+    (tmp_path / "a.chain").write_text(f"# a note\n\n{chain}\nchain 10 chr1 1000 + 0 5 q 9 + 0 5 8\n5\n\n\n{chain.replace(' 7', ' 9')}")
+    got = sorted(tuple(r) for r in readers.read_chains(spark, str(tmp_path)).select("chain_id", "block", "s", "e", "q_s", "q_strand", "score").collect())
+    assert got == [(c, b, s, s + 20, q, -1, 30000) for c in (7, 9) for b, s, q in ((0, 10, 5), (1, 40, 30))]
+    assert readers.read_chains(spark, str(tmp_path), 0).where("chain_id = 8").count() == 1
