@@ -156,24 +156,30 @@ def read_chains(spark: SparkSession, path: str, min_score: int = 25_000) -> Data
     import numpy as np
     import pandas as pd
 
-    names = [c.split()[0] for c in CHAIN_BLOCKS.split(", ")]
-
     def parse(frames):
         for frame in frames:
-            found = []
+            heads, cells, counts = [], [], []
             for record in frame["value"]:
                 lines = [x for x in record.split("\n") if x.strip() and not x.startswith("#")]
                 f = lines[0].split()
-                rows = [x.split() for x in lines[1:]]
-                size = np.array([int(r[0]) for r in rows], dtype=np.int64)
-                gaps = np.array([[int(r[1]), int(r[2])] if len(r) == 3 else [0, 0] for r in rows], dtype=np.int64).reshape(-1, 2)
-                steps = np.cumsum(size[:, None] + gaps, axis=0) - (size[:, None] + gaps)  # of the target and of the query before each block
-                head = (int(f[12]), int(f[1]), f[2], int(f[3]), f[7], int(f[8]), -1 if f[9] == "-" else 1)
-                made = pd.DataFrame({"block": np.arange(len(rows)), "s": int(f[5]) + steps[:, 0], "e": int(f[5]) + steps[:, 0] + size, "q_s": int(f[10]) + steps[:, 1]})
-                found.append(made.assign(**dict(zip(names[:7], head, strict=True))))
-            if found:
-                yield pd.concat(found)[names]
+                heads.append((int(f[12]), int(f[1]), f[2], int(f[3]), f[7], int(f[8]), -1 if f[9] == "-" else 1, int(f[5]), int(f[10])))
+                counts.append(len(lines) - 1)
+                cells += [[*map(int, x.split()), 0, 0][:3] for x in lines[1:]]  # the last block has no gap
+            if not cells:
+                continue
+            size, t_gap, q_gap = np.array(cells, dtype=np.int64).T
+            of = np.repeat(np.arange(len(counts)), counts)
+            begin = np.cumsum(counts) - counts  # the first block of each chain
+
+            def before(step):
+                total = np.cumsum(step) - step  # of all chains of the frame, so that of the chain's first block is taken off
+                return total - total[np.minimum(begin, len(step) - 1)][of]
+
+            columns = [np.array(c, dtype=object if isinstance(c[0], str) else np.int64)[of] for c in zip(*heads, strict=True)]
+            t, q = columns[7] + before(size + t_gap), columns[8] + before(size + q_gap)
+            yield pd.DataFrame(dict(zip(names, [*columns[:7], np.arange(len(of)) - begin[of], t, t + size, q], strict=True)))
 
+    names = [c.split()[0] for c in CHAIN_BLOCKS.split(", ")]
     records = spark.read.option("lineSep", "\n\n").text(path).select(F.regexp_replace("value", r"\A(?:\s|#[^\n]*\n)*", "").alias("value"))
     score = F.split(F.substring_index("value", "\n", 1), r"\s+")[1].try_cast("bigint")
     return records.where(F.col("value").startswith("chain") & (score >= min_score)).mapInPandas(parse, CHAIN_BLOCKS)
