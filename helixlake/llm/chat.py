@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-Turns are ordered within their conversation, neighbouring turns of one role are merged under one
-header (the boundary stays readable), the pieces are collected as structs, sorted and joined:
+The turns of a conversation are collected as structs and sorted; neighbouring turns of one role are
+merged under one header (the boundary stays readable) by array functions over the sorted turns, and
+the pieces are joined. One shuffle, one row per conversation:
 
     <|im_start|>ROLE\\nTEXT[<|im_part|>TEXT ...]<|im_end|>\\n ...
 
@@ -12,13 +13,14 @@ role is written as backslash n or two backslashes, so a header is one line.
 ``loss_spans`` are the (start, length) in code points of each assistant text in ``formatted``.
 
 Edge cases: a null text or role is empty; a null conversation id is a conversation of its own;
-turns with the same number are ordered by role, then text; repeated rows are turns of their own; an
-empty table gives an empty result; other columns are ignored.
+turns with the same number are ordered by role, then text; repeated rows are turns of their own; a
+very long text is kept whole (a conversation must fit one row); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, PART, END = "<|im_start|>", "<|im_part|>", "<|im_end|>\n"
@@ -43,27 +45,32 @@ def _role_in(role: Column) -> Column:
 
 def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, formatted, loss_spans), a row per conversation."""
-    rows = turns.select(
-        F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x")
+    blank = F.lit("")
+    turn_struct = F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), blank).alias("r"), F.coalesce(F.col(text), blank).alias("x"))
+    sorted_turns = turns.select(F.col(conv).alias("c"), turn_struct.alias("turn")).groupBy("c").agg(F.sort_array(F.collect_list("turn")).alias("p"))
+
+    def piece(x: Column, i: Column) -> Column:
+        """A turn with what stands before and after it: neighbours of one role share a header and an end."""
+        first = F.coalesce(F.get("p", i - 1)["r"] != x["r"], F.lit(True))
+        last = F.coalesce(F.get("p", i + 1)["r"] != x["r"], F.lit(True))
+        head = F.when(first, F.concat(F.lit(START), _role_out(x["r"]), F.lit("\n"))).otherwise(F.lit(PART))
+        return F.struct(x["r"].alias("r"), head.alias("head"), escape(x["x"]).alias("body"), F.when(last, F.lit(END)).otherwise(blank).alias("tail"))
+
+    def span(acc: Column, x: Column) -> Column:
+        begin, length = acc["at"] + F.char_length(x["head"]), F.char_length(x["body"])
+        mine = F.array(F.struct(begin.cast("long").alias("start"), length.cast("long").alias("length")))
+        return F.struct(
+            (begin + length + F.char_length(x["tail"])).cast("long").alias("at"),
+            F.when(x["r"] == "assistant", F.concat(acc["spans"], mine)).otherwise(acc["spans"]).alias("spans"),
+        )
+
+    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    pieces = sorted_turns.select("c", F.transform("p", piece).alias("pieces"))
+    return pieces.select(
+        F.col("c").alias(conv),
+        F.array_join(F.transform("pieces", lambda x: F.concat(x["head"], x["body"], x["tail"])), "").alias("formatted"),
+        F.aggregate("pieces", nothing, span, lambda acc: acc["spans"]).alias("loss_spans"),
     )
-    w = Window.partitionBy("c").orderBy("t", "r", "x")
-    rows = rows.select(
-        "c", F.row_number().over(w).alias("n"), "r",
-        (~F.coalesce(F.lag("r").over(w) == F.col("r"), F.lit(False))).alias("first"),
-        (~F.coalesce(F.lead("r").over(w) == F.col("r"), F.lit(False))).alias("last"),
-        escape(F.col("x")).alias("body"),
-    )
-    head = F.when(F.col("first"), F.concat(F.lit(START), _role_out(F.col("r")), F.lit("\n"))).otherwise(F.lit(PART))
-    tail = F.when(F.col("last"), F.lit(END)).otherwise(F.lit(""))
-    rows = rows.withColumns({"head": head, "tail": tail})
-    length = F.char_length("head") + F.char_length("body") + F.char_length("tail")
-    before = F.coalesce(F.sum(length).over(Window.partitionBy("c").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("start", (before + F.char_length("head")).cast("long"))
-    pieces = rows.groupBy("c").agg(
-        F.sort_array(F.collect_list(F.struct("n", F.concat("head", "body", "tail").alias("piece"), "r", "start", F.char_length("body").cast("long").alias("length")))).alias("p")
-    )
-    spans = F.transform(F.filter("p", lambda p: p["r"] == "assistant"), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
-    return pieces.select(F.col("c").alias(conv), F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_chat(formatted: Column) -> Column:
