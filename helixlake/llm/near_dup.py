@@ -178,7 +178,7 @@ def keep_one(
     members = loose.select("node")
     members = F.broadcast(members) if members.count() <= broadcast_rows else members
     bodies = rows.select("node", "text").join(members, "node").groupBy("node").agg(F.first("text").alias("text"))
-    groups = _dealt(loose.join(texts.select("node", "wide"), "node").select("node", "wide", F.col("root").alias("block")), group_rows, broadcast_rows, "large_groups")
+    groups = _dealt(loose.join(texts.select("node", "wide"), "node").select("node", "wide", F.xxhash64("root").alias("block")), group_rows, broadcast_rows, "large_groups")
     links = groups.join(bodies, "node").repartition("block").sortWithinPartitions("block").mapInArrow(_verified(max_bits, least, group_rows), "a binary, b binary")
     tied = components(links)
     root = texts.select("node", "least").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
