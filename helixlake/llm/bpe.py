@@ -37,7 +37,7 @@ import regex
 
 from .textops import in_blocks
 
-MEMO_WORDS, MEMO_LENGTH, BLOCK = 800_000, 48, 1 << 23
+MEMO_WORDS, MEMO_LENGTH, BLOCK = 300_000, 48, 1 << 22
 # Precomposed Latin letters: composed already, lowered one by one; U+0130 alone is lowered to two characters.
 _LATIN = r"^[\x00-\x7f\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]*$"
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
