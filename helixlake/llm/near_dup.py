@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .simhash import HammingIndex, bit_counts, forest, grouped
 from .store import materialize
-from .textops import Block, encoded, gram_hashes, in_blocks, mix
+from .textops import Block, encoded, gram_hashes, in_blocks, mix, text_blocks, trimmed
 
 WIDE, BANDS, BAND, SHINGLE = 8, 12, 4, 5
 _U = np.uint64
@@ -77,9 +77,8 @@ def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketched(batches):
     for batch in batches:
-        texts = encoded(batch.column("text"))
-        for lo, hi in in_blocks([len(t) for t in texts]):
-            wide, bands = sketches(texts[lo:hi])
+        for lo, hi, texts in text_blocks(batch.column("text")):
+            wide, bands = sketches(texts)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1).view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (wide, bands)]
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("node").slice(lo, hi - lo), *lists], names=["id", "node", "wide", "bands"])
 
@@ -168,18 +167,18 @@ def keep_one(
     node = F.unhex(F.md5(body.cast("binary")))  # 128 bits: different texts do not share one
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), node.alias("node"), body.alias("text"))
-    found = materialize(rows.mapInArrow(_sketched, f"id {id_type}, node binary, wide array<long>, bands array<long>"), "sketches")
+    found = materialize(rows.mapInArrow(trimmed(_sketched), f"id {id_type}, node binary, wide array<long>, bands array<long>"), "sketches")
     texts = found.groupBy("node").agg(F.min("id").alias("least"), F.first("wide").alias("wide"), F.first("bands").alias("bands"))
     texts = materialize(texts, "texts")
     blocks = texts.select("node", "wide", F.posexplode("bands").alias("band", "value")).select("node", "wide", F.xxhash64("band", "value").alias("block"))
     blocks = _dealt(blocks, block_rows, broadcast_rows, "large")
-    links = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_pairs(radius, max_bits), "a binary, b binary")
+    links = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(trimmed(_pairs(radius, max_bits)), "a binary, b binary")
     loose = materialize(components(links), "candidates")
     members = loose.select("node")
     members = F.broadcast(members) if members.count() <= broadcast_rows else members
     bodies = rows.select("node", "text").join(members, "node").groupBy("node").agg(F.first("text").alias("text"))
     groups = _dealt(loose.join(texts.select("node", "wide"), "node").select("node", "wide", F.xxhash64("root").alias("block")), group_rows, broadcast_rows, "large_groups")
-    links = groups.join(bodies, "node").repartition("block").sortWithinPartitions("block").mapInArrow(_verified(max_bits, least, group_rows), "a binary, b binary")
+    links = groups.join(bodies, "node").repartition("block").sortWithinPartitions("block").mapInArrow(trimmed(_verified(max_bits, least, group_rows)), "a binary, b binary")
     tied = components(links)
     root = texts.select("node", "least").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = root.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "node")).alias("kept"))

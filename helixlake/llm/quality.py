@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textops import Block, encoded, gram_hashes, in_blocks, mix
+from .textops import Block, encoded, gram_hashes, mix, text_blocks, trimmed
 
 KINDS = ((0, 1), (0, 2), (1, 1), (1, 2), (1, 3))  # (words or shapes, n)
 _U = np.uint64
@@ -134,9 +134,8 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", bits: int =
     def run(batches):
         w = shared.value
         for batch in batches:
-            texts = encoded(batch.column(text))
-            found = [dots(Block(texts[lo:hi]), w[:-1], bits) for lo, hi in in_blocks([len(t) for t in texts])]
+            found = [dots(Block(texts), w[:-1], bits) for _, _, texts in text_blocks(batch.column(text))]
             p = 1 / (1 + np.exp(-np.clip(np.concatenate([*found, np.zeros(0)]) + w[-1], -35, 35)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(p)], names=[*others, name])
 
-    return docs.select(*others, *([] if with_text else [text])).mapInArrow(run, StructType([*(docs.schema[c] for c in others), StructField(name, DoubleType())]))
+    return docs.select(*others, *([] if with_text else [text])).mapInArrow(trimmed(run), StructType([*(docs.schema[c] for c in others), StructField(name, DoubleType())]))

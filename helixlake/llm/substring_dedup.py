@@ -9,11 +9,12 @@ nodes at that depth are the repeats.
   that window. Equal windows meet in the same group, and neighbouring suffixes share theirs, so that
   a group has one row per *run* of suffixes, not one per suffix. Groups with a single leaf are
   pruned here: nothing below them repeats. That leaves the copied share of the corpus.
-* A group of up to ``part_rows`` runs fits in a task's memory. Its rows carry the words themselves.
+* A group of up to ``part_rows`` rows (of a run's up to ROW suffixes each) fits in a task's memory. Its
+  rows carry the words themselves.
   The subtree is built level by level: the nodes at depth 2d are the distinct pairs of nodes at depth
   d, so the nodes at depth ``window`` are told apart by their words, not by hashes. Each of them
   with two leaves or more marks its leaves as repeated; a longer repeat is a chain of such nodes.
-* Groups above ``part_rows`` runs (a passage that a large share of all documents holds) get the
+* Groups above ``part_rows`` rows (a passage that a large share of all documents holds) get the
   longest prefix, the whole window: their nodes are (group, 128-bit hash of the window's words) keys
   counted with map-side combining, and leaves join their node, so no task holds a hot node's leaves.
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .simhash import grouped
 from .store import bucketed, materialize
-from .textops import Block, encoded, gram_hashes, in_blocks, sliding_min
+from .textops import Block, gram_hashes, sliding_min, text_blocks, trimmed
 
 ROW = 32  # suffixes in a row of a run
 
@@ -75,9 +76,8 @@ def _runs(block: Block, window: int, gram: int):
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Block]]:
-    texts = encoded(batch.column("text"))
-    for lo, hi in in_blocks([len(t) for t in texts]):
-        yield lo, hi, Block(texts[lo:hi])
+    for lo, hi, texts in text_blocks(batch.column("text")):
+        yield lo, hi, Block(texts)
 
 
 def _anchors(window: int, gram: int):
@@ -86,13 +86,14 @@ def _anchors(window: int, gram: int):
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
             copies = batch.column("copies").to_numpy()
             for lo, _, block in _blocks(batch):
-                part, _, _, twice, of = _runs(block, window, gram)
+                part, first, final, twice, of = _runs(block, window, gram)
+                leaves, rows = 1 + (twice | (copies[lo + of] > 1)), (final - first) // ROW + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.view(np.int64)), pa.array(k1[lo + of]), pa.array(k2[lo + of]), pa.array((1 + (twice | (copies[lo + of] > 1))).astype(np.int8))],
-                    names=["part", "k1", "k2", "w"],
+                    [pa.array(part.view(np.int64)), pa.array(k1[lo + of]), pa.array(k2[lo + of]), pa.array(leaves.astype(np.int8)), pa.array(rows.astype(np.int32))],
+                    names=["part", "k1", "k2", "w", "rows"],
                 )
 
-    return run
+    return trimmed(run)
 
 
 def _suffixes(window: int, gram: int):
@@ -131,7 +132,7 @@ def _suffixes(window: int, gram: int):
                     names=["part", "k1", "k2", "start", "w", "words"],
                 )
 
-    return run
+    return trimmed(run)
 
 
 def nodes_at_depth(words: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
@@ -148,7 +149,7 @@ def nodes_at_depth(words: np.ndarray, suffixes: np.ndarray, depth: int) -> np.nd
     return np.unique(pair, return_inverse=True)[1]
 
 
-def _subtrees(window: int, rows_at_once: int = 20_000):
+def _subtrees(window: int, rows_at_once: int = 5_000):
     """Input sorted by part. Marks the leaves of nodes at full depth with two leaves or more."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
@@ -176,7 +177,7 @@ def _subtrees(window: int, rows_at_once: int = 20_000):
         for table in grouped(batches, "part", rows_at_once):
             yield solve(table)
 
-    return run
+    return trimmed(run)
 
 
 def _leaves(window: int):
@@ -197,13 +198,13 @@ def _leaves(window: int):
                 names=["part", "k1", "k2", "start", "w", "path"],
             )
 
-    return run
+    return trimmed(run)
 
 
 def _kept(window: int, with_text: bool):
     def run(batches):
-        for batch in batches:
-            texts, copies, found = encoded(batch.column("text")), batch.column("copies").to_pylist(), batch.column("found")
+        for batch, texts in ((whole.slice(lo, hi - lo), texts) for whole in batches for lo, hi, texts in text_blocks(whole.column("text"))):
+            copies, found = batch.column("copies").to_pylist(), batch.column("found")
             n_words, n_removed, digest, kept = [], [], [], []
             for i, text in enumerate(texts):
                 words = text.split()
@@ -230,7 +231,7 @@ def _kept(window: int, with_text: bool):
                 names=["k1", "k2", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    return run
+    return trimmed(run)
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -238,7 +239,7 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"__k1": F.xxhash64(body), "__k2": F.xxhash64(F.lit(1), body)})
 
 
-def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8, part_rows: int = 2048, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8, part_rows: int = 4096, with_text: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` but the text, with n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     ``kept_text`` is the untouched text where no word is removed, else the kept words joined by one space.
@@ -251,10 +252,10 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, gram:
         .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     )
     folded = bucketed(folded, ["k1", "k2"], "folded")  # read three times, moved once
-    anchors = materialize(folded.mapInArrow(_anchors(window, gram), "part long, k1 long, k2 long, w byte"), "anchors")
-    parts = anchors.groupBy("part").agg(F.sum("w").alias("leaves"), F.count(F.lit(1)).alias("runs")).where("leaves > 1")
+    anchors = materialize(folded.mapInArrow(_anchors(window, gram), "part long, k1 long, k2 long, w byte, rows int"), "anchors")
+    parts = anchors.groupBy("part").agg(F.sum("w").alias("leaves"), F.sum("rows").alias("total")).where("leaves > 1")
     wanted = anchors.join(parts, "part").groupBy("k1", "k2").agg(
-        F.collect_set(F.when(F.col("runs") <= part_rows, F.col("part"))).alias("cold"), F.collect_set(F.when(F.col("runs") > part_rows, F.col("part"))).alias("hot")
+        F.collect_set(F.when(F.col("total") <= part_rows, F.col("part"))).alias("cold"), F.collect_set(F.when(F.col("total") > part_rows, F.col("part"))).alias("hot")
     )
     wanted = materialize(wanted, "parts")
     shape = "part long, k1 long, k2 long, start int, w byte, words binary"

@@ -8,6 +8,8 @@ of the words alone, so equal word sequences get equal hashes in any document and
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,6 +115,28 @@ def in_blocks(sizes: list[int], limit: int = BLOCK) -> Iterator[tuple[int, int]]
         yield begin, len(sizes)
 
 
+def text_blocks(column, limit: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, row after the last, UTF-8 texts) of about ``limit`` bytes each, so that a batch is never held as Python objects whole."""
+    import pyarrow.compute as pc
+
+    for lo, hi in in_blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit):
+        yield lo, hi, encoded(column.slice(lo, hi - lo))
+
+
+def trimmed(run):
+    """A partition function that gives freed memory back at its end: workers live on, and an executor's memory is shared by them and the JVM."""
+
+    def call(batches):
+        yield from run(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its free lists
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return call
+
+
 def encoded(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, empty for null."""
     import pyarrow as pa
