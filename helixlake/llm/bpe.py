@@ -35,9 +35,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from .textops import in_blocks
+from .textops import in_blocks, trimmed
 
-MEMO_WORDS, MEMO_LENGTH, BLOCK = 300_000, 48, 1 << 22
+MEMO_WORDS, MEMO_LENGTH, BLOCK = 200_000, 48, 1 << 21
 # Precomposed Latin letters: composed already, lowered one by one; U+0130 alone is lowered to two characters.
 _LATIN = r"^[\x00-\x7f\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]*$"
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -80,7 +80,9 @@ class WordBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, library = spec["model"], Tokenizer.from_file(path)
+        model = spec["model"]
+        # the library's rules without its vocabulary, which would be held in memory twice
+        library = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}))
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.strings = {i: s for s, i in self.vocab.items()}
@@ -215,9 +217,8 @@ class WordBpe:
 
     def encode_column(self, column: pa.Array) -> Iterator[bytes]:
         """The packed ids of each text of a column, null as empty; blocks of about ``BLOCK`` bytes are encoded together."""
-        column = column.fill_null("")
-        for lo, hi in in_blocks(pc.binary_length(column).to_pylist(), BLOCK):
-            texts = column.slice(lo, hi - lo).cast(pa.string())
+        for lo, hi in in_blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), BLOCK):
+            texts = column.slice(lo, hi - lo).fill_null("").cast(pa.string())
             special = np.zeros(hi - lo, dtype=bool)
             for token in self.special:
                 special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
@@ -239,8 +240,9 @@ class WordBpe:
 def _gather(flat: np.ndarray, count: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The items ``order`` of ``flat``, which holds items of ``count`` values end to end."""
     start, size = np.cumsum(count) - count, count[order]
-    shift = start[order] - (np.cumsum(size) - size)
-    return flat[np.repeat(shift, size) + np.arange(size.sum())]
+    at = np.repeat(start[order] - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return flat[at]
 
 
 @functools.lru_cache(maxsize=2)
@@ -290,4 +292,4 @@ def encode_documents(docs, path: str, text: str = "text", with_output: bool = Fa
                 made_columns += [pa.array(all_ids, pa.list_(pa.int64())), pa.array(all_text, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *made_columns], names=[*others, *made])
 
-    return docs.select(*others, text).mapInArrow(run, schema)
+    return docs.select(*others, text).mapInArrow(trimmed(run), schema)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe import load, no_cycles
 from .store import materialize
+from .textops import trimmed
 
 PART_ROWS = 1 << 18
 
@@ -52,7 +53,7 @@ def pieces(docs: DataFrame, path: str, id_col: str, text: str, length: int, end_
             columns = zip(*rows, strict=True) if rows else ([] for _ in made)
             yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(source, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names=[id_col, *made])
 
-    return docs.select(id_col, text).mapInArrow(run, StructType([docs.schema[id_col], *(StructField(c, LongType()) for c in made)]))
+    return docs.select(id_col, text).mapInArrow(trimmed(run), StructType([docs.schema[id_col], *(StructField(c, LongType()) for c in made)]))
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[int, tuple[int, ...]]]:
