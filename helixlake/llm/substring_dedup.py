@@ -16,7 +16,8 @@ nodes at that depth are the repeats.
   with two leaves or more marks its leaves as repeated; a longer repeat is a chain of such nodes.
 * Groups above ``part_rows`` rows (a passage that a large share of all documents holds) get the
   longest prefix, the whole window: their nodes are (group, 128-bit hash of the window's words) keys
-  counted with map-side combining, and leaves join their node, so no task holds a hot node's leaves.
+  counted with map-side combining, so no task holds a hot node's leaves. Nodes with one leaf give it
+  back; every other leaf of the group repeats, so that leaves need not meet their nodes again.
 
 Exact copies are folded first (one text and a count, told apart by 128 bits), which also folds
 their suffixes.
@@ -180,6 +181,17 @@ def _subtrees(window: int, rows_at_once: int = 5_000):
     return trimmed(run)
 
 
+def _all_marked(window: int):
+    """The marks of all suffixes of each row."""
+
+    def run(batches):
+        for batch in batches:
+            count = np.fromiter((len(x.split()) for x in batch.column("words").to_pylist()), dtype=np.int64, count=len(batch)) - window + 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "start")), pa.array(np.left_shift(np.int64(1), count) - 1)], names=["k1", "k2", "start", "mask"])
+
+    return trimmed(run)
+
+
 def _leaves(window: int):
     """A row per suffix with the 128-bit hash of its window's words."""
 
@@ -204,7 +216,7 @@ def _leaves(window: int):
 def _kept(window: int, with_text: bool):
     def run(batches):
         for batch, texts in ((whole.slice(lo, hi - lo), texts) for whole in batches for lo, hi, texts in text_blocks(whole.column("text"))):
-            copies, found = batch.column("copies").to_pylist(), batch.column("found")
+            copies, found, alone = batch.column("copies").to_pylist(), batch.column("found"), batch.column("alone")
             n_words, n_removed, digest, kept = [], [], [], []
             for i, text in enumerate(texts):
                 words = text.split()
@@ -217,6 +229,8 @@ def _kept(window: int, with_text: bool):
                     mask = rows.field("mask").to_numpy()
                     hit = (mask[:, None] >> np.arange(ROW)) & 1 != 0
                     at = (rows.field("start").to_numpy()[:, None] + np.arange(ROW))[hit]
+                    if alone[i].is_valid:
+                        at = np.setdiff1d(at, alone[i].values.to_numpy())
                     np.add.at(cover, at, 1)
                     np.subtract.at(cover, at + window, 1)
                 gone = np.cumsum(cover[:n]) > 0
@@ -266,11 +280,12 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, gram:
 
     found = suffixes("cold").repartition("part").sortWithinPartitions("part").mapInArrow(_subtrees(window), "k1 long, k2 long, start int, mask long")
     if not wanted.where(F.size("hot") > 0).isEmpty():
-        leaves = suffixes("hot").mapInArrow(_leaves(window), "part long, k1 long, k2 long, start int, w byte, path binary")
-        leaves = materialize(leaves, "leaves")
-        nodes = leaves.groupBy("part", "path").agg(F.sum("w").alias("leaves")).where("leaves > 1").select("part", "path")
-        found = found.unionByName(leaves.join(nodes, ["part", "path"]).select("k1", "k2", "start", F.lit(1).cast("long").alias("mask")))
-    marks = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
+        hot = materialize(suffixes("hot"), "hot")
+        leaves = hot.mapInArrow(_leaves(window), "part long, k1 long, k2 long, start int, w byte, path binary")
+        single = leaves.groupBy("part", "path").agg(F.sum("w").alias("leaves"), *(F.min(c).alias(c) for c in ("k1", "k2", "start"))).where("leaves = 1")
+        found = found.unionByName(hot.mapInArrow(_all_marked(window), found.schema)).unionByName(single.select("k1", "k2", "start", F.lit(0).cast("long").alias("mask")))
+    # a mask of 0: the one leaf of its node in a hot group
+    marks = found.groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("mask") != 0, F.struct("start", "mask"))).alias("found"), F.collect_list(F.when(F.col("mask") == 0, F.col("start"))).alias("alone"))
     kept = (
         folded.join(marks, ["k1", "k2"], "left")
         .mapInArrow(_kept(window, with_text), "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, kept_text string")
