@@ -35,14 +35,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from .textops import in_blocks, trimmed
+from .textops import in_blocks, mix, trimmed
 
-MEMO_WORDS, MEMO_LENGTH, BLOCK = 200_000, 48, 1 << 21
+MEMO_WORDS, MEMO_LENGTH, BLOCK = 1_000_000, 48, 1 << 21
+# For each hash a random odd factor of every byte's place in a text of the memo.
+_FACTORS = [np.random.default_rng(seed).integers(0, 1 << 63, MEMO_LENGTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (1, 2)]
 # Precomposed Latin letters: composed already, lowered one by one; U+0130 alone is lowered to two characters.
 _LATIN = r"^[\x00-\x7f\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]*$"
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+MEMO_PIECES = 30_000
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -52,24 +57,84 @@ def byte_alphabet() -> list[str]:
     return [stand[b] for b in range(256)]
 
 
+def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the bytes of each text, and their number."""
+    texts = texts.cast(pa.large_binary())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    start, size = ends[:-1] - ends[0], np.diff(ends)
+    column = np.arange(len(raw)) - np.repeat(start, size)
+    found = []
+    for factors in _FACTORS:
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(mix(raw.astype(np.uint64) + factors[0]) * factors[np.minimum(column, MEMO_LENGTH)], out=total[1:])
+        found.append(mix(total[start + size] - total[start] + size.astype(np.uint64)))
+    return *found, size
+
+
+class _Table:
+    """Ids of texts by two hashes, sorted by the first."""
+
+    def __init__(self) -> None:
+        self.one, self.two = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1 << 12, "<u4"), 0
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is missing."""
+        if not len(self.one):
+            return np.full(len(one), -1)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return np.where((self.one[at] == one) & (self.two[at] == two), at, -1)
+
+    def add(self, one: np.ndarray, two: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+        """New keys and their ids; of keys that share the first hash one is kept."""
+        one, first = np.unique(one, return_index=True)
+        at = np.searchsorted(self.one, one)
+        fresh = np.ones(len(one), dtype=bool) if not len(self.one) else self.one[np.minimum(at, len(self.one) - 1)] != one
+        one, first, at = one[fresh], first[fresh], at[fresh]
+        ids = _gather(flat, count, first)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used // 4 + 2 * len(ids), "<u4")])
+        self.flat[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(count[first]) - count[first]
+        self.used += len(ids)
+        for name, values in (("one", one), ("two", two[first]), ("start", start), ("count", count[first].astype(np.uint8))):
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _slices(self.flat, self.start[at], self.count[at].astype(np.int64)), self.count[at].astype(np.int64)
+
+
 class _Memo:
-    """A bounded memo of two generations: a full one becomes the old one, from which what is still used moves over."""
+    """A bounded memo of two generations: a full one becomes the old one, from which what is still used moves over.
+
+    It holds numbers only: texts are known by 128 bits, their ids lie end to end (some 40 bytes a text).
+    """
 
     def __init__(self, make, most: int) -> None:
-        self.make, self.most, self.new, self.old = make, most // 2, {}, {}
-
-    def all(self, keys: list) -> list:
-        found, old, make = list(map(self.new.get, keys)), self.old.get, self.make
-        for i, value in enumerate(found):
-            if value is None:
-                key = keys[i]
-                value = found[i] = old(key) or make(key)
-                if len(key) <= MEMO_LENGTH:
-                    if len(self.new) >= self.most:
-                        self.old, self.new = self.new, {}
-                        old = self.old.get
-                    self.new[key] = value
-        return found
+        self.make, self.most, self.new, self.old = make, most // 2, _Table(), _Table()
+
+    def all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct texts end to end, and how many each has."""
+        one, two, size = _keys(texts)
+        at = self.new.find(one, two)
+        known = np.flatnonzero(at >= 0)
+        rest = np.flatnonzero(at < 0)
+        was = self.old.find(one[rest], two[rest])
+        moved, missing = rest[was >= 0], rest[was < 0]
+        made = list(map(self.make, texts.take(pa.array(missing)).to_pylist()))
+        parts = [self.new.ids(at[known]), self.old.ids(was[was >= 0]), (np.frombuffer(b"".join(made), "<u4"), np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4)]
+        flat, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        places = np.concatenate([known, moved, missing])
+        back = np.empty(len(places), dtype=np.int64)
+        back[places] = np.arange(len(places))
+        add = np.flatnonzero((np.arange(len(places)) >= len(known)) & (size[places] <= MEMO_LENGTH) & (count < 256))
+        if len(add):
+            if len(self.new.one) + len(add) > self.most:
+                self.old, self.new = self.new, _Table()
+            self.new.add(one[places[add]], two[places[add]], _gather(flat, count, add), count[add])
+        return _gather(flat, count, back), count[back]
 
 
 class WordBpe:
@@ -107,6 +172,7 @@ class WordBpe:
         self.final = [self.vocab.get(c + self.end) for c in stand]
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.memo = _Memo(self._piece, MEMO_WORDS)
+        self._known = functools.lru_cache(MEMO_PIECES)(self._piece)  # pieces inside of cuts that are more than letters and signs
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge symbols by rank with a heap over a doubly linked list; a queue entry is one integer, rank and place."""
@@ -175,7 +241,7 @@ class WordBpe:
         """Packed ids of a text without ASCII white space that is more than letters and one run of signs."""
         if not cut.isascii():
             return self._by_library(cut)
-        return b"".join(self.memo.all(self.pieces(cut.lower())))
+        return b"".join(map(self._known, self.pieces(cut.lower())))
 
     def _distinct(self, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts without ASCII white space end to end, and how many each has."""
@@ -190,14 +256,15 @@ class WordBpe:
         signed = np.flatnonzero(whole > letters)
         tails = [x[n:] for x, n in zip(lower.take(pa.array(at[signed])).to_pylist(), letters[signed].tolist(), strict=True)]
         number = {tail: i for i, tail in enumerate(dict.fromkeys(tails))}
-        values = [b"", *self.memo.all(words.dictionary.to_pylist()), *self.memo.all(list(number)), *map(self._other, cuts.take(pa.array(rest)).to_pylist())]
+        ids, count = self.memo.all(words.dictionary)
+        values = [*map(self._known, number), *map(self._other, cuts.take(pa.array(rest)).to_pylist())]
         parts = np.zeros((len(cuts), 2), dtype=np.int64)
         parts[at, 0] = words.indices.to_numpy() + 1
         after_words = len(words.dictionary) + 1
         parts[at[signed], 1] = np.fromiter(map(number.__getitem__, tails), dtype=np.int64, count=len(tails)) + after_words
         parts[rest, 0] = np.arange(len(rest)) + after_words + len(number)
-        count = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
-        return _gather(np.frombuffer(b"".join(values), "<u4"), count, parts.reshape(-1)), count[parts].sum(axis=1)
+        count = np.concatenate([[0], count, np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4])
+        return _gather(np.concatenate([ids, np.frombuffer(b"".join(values), "<u4")]), count, parts.reshape(-1)), count[parts].sum(axis=1)
 
     def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that spell no special token, end to end, and how many each has."""
@@ -239,8 +306,11 @@ class WordBpe:
 
 def _gather(flat: np.ndarray, count: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The items ``order`` of ``flat``, which holds items of ``count`` values end to end."""
-    start, size = np.cumsum(count) - count, count[order]
-    at = np.repeat(start[order] - (np.cumsum(size) - size), size)
+    return _slices(flat, (np.cumsum(count) - count)[order], count[order])
+
+
+def _slices(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    at = np.repeat(start - (np.cumsum(size) - size), size)
     at += np.arange(len(at))
     return flat[at]
 
