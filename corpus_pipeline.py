@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored; an empty table stays empty.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(labelled.sample(docs, labels, "toxic", labelled.remainder("doc_id", 5) != 0, queries.PER_CLASS))
+    model = toxicity.fit(labelled.known(docs, labels, "toxic", labelled.remainder("doc_id", 5) != 0))
     return toxicity.score(docs.select(*COLUMNS), model, name="__score").where("__score < 0.5").select(*COLUMNS)
 
 

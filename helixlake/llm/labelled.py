@@ -1,4 +1,4 @@
-"""The bounded training sample that both classifiers learn from."""
+"""The labelled documents that the classifiers learn from: all of them, or a bounded sample."""
 
 from __future__ import annotations
 
@@ -11,6 +11,16 @@ def remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def _labels(labels: DataFrame, label: str, learn: Column, id_col: str) -> DataFrame:
+    return labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & learn).groupBy(id_col).agg(F.max(label).alias("y"))
+
+
+def known(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(y, text): every labelled document that ``learn`` admits; ids that repeat as in ``sample``."""
+    some = docs.select(id_col, text).where(learn).join(_labels(labels, label, learn, id_col), id_col)
+    return some.select(F.col("y").cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(y, text): up to ``per_class`` labelled documents of each class, chosen by a hash of the id.
 
@@ -18,7 +28,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
     labelled more than once counts with its greater label; one that stands on several documents
     may give several rows.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & learn).groupBy(id_col).agg(F.max(label).alias("y"))
+    known = _labels(labels, label, learn, id_col)
     order = F.xxhash64(F.lit(3), id_col)
     some = known.where("y = 1").orderBy(order, id_col).limit(per_class).unionByName(known.where("y = 0").orderBy(order, id_col).limit(per_class))
     return docs.select(id_col, text).join(F.broadcast(some), id_col).select(F.col("y").cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -61,7 +61,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     rest = labelled.remainder("doc_id", 5)
-    model = toxicity.fit(labelled.sample(docs, labels, "toxic", rest != 0, PER_CLASS))
+    model = toxicity.fit(labelled.known(docs, labels, "toxic", rest != 0))
     return _classified(toxicity.score(docs, model, with_text=False), "doc_id", rest == 0)
 
 

@@ -5,11 +5,11 @@ and spaces between them. Tokens that show such traces (of letters alone: one tha
 a row) and give no evidence as written are decoded: each character is a column of a
 lattice (itself, the letters it may stand for, or nothing for a sign or a repeat), each path costs
 its channel price and its price under a character trigram model, and Viterbi finds the cheapest.
-The trigram model and the lexicon are learned from the bounded sample of labelled documents.
+The trigram model and the lexicon are learned from all labelled documents that may be learned from.
 
 Lexicon. Words and word beginnings that mark toxic documents: they stand in at least
 ``least_contexts`` different neighbourhoods of toxic documents (a parameter; by default 1 per 60 toxic
-documents of the bounded sample, held within 6 and 16, so words that merely come with copies of one
+documents, held within 6 and 16, so words that merely come with copies of one
 document do not count) and are ``least_ratio`` times as frequent there as elsewhere.
 A beginning counts only where several different words share it. Evidence is the smoothed log odds;
 the score is a logistic function of a document's strongest evidence plus half of the rest.
@@ -22,13 +22,14 @@ scored alike; other columns, also label, lang, source and id, are never inputs a
 from __future__ import annotations
 
 import math
-import pickle
 import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .store import materialize
 from .textops import trimmed
 
 # Signs and digits that stand for letters.
@@ -42,28 +43,43 @@ EDGE = ".,;:!?\"'()[]{}<>|*#&%$-_/\\"
 SPACED = re.compile(r"(?<!\w)[\w$@!|](?:[\W_]{1,3}[\w$@!|]){2,}(?!\w)")
 REPEATED, STRETCHED = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 MEMO = 150_000
+MOST_CONTEXTS, LEAST_RATIO, COUNTED = 16, 12.0, 60_000
+
+
+def least_contexts_of(toxic: int) -> int:
+    return min(MOST_CONTEXTS, max(6, toxic // 60))
+
+
+def tokens_of(text: str) -> list[str]:
+    return [t for t in (t.strip(EDGE) for t in text.lower().split()) if t]
+
+
+def trigrams_of(tokens: Counter) -> Counter:
+    """Character trigrams of tokens of letters, with the mark of a word's beginning and end."""
+    found: Counter = Counter()
+    for t, n in tokens.items():
+        if t.isalpha():
+            padded = "^^" + t + "~"
+            for i in range(2, len(padded)):
+                found[padded[i - 2 : i + 1]] += n
+    return found
 
 
 class Model:
-    """A trigram character model and a lexicon of evidence; small (bounded by the sample) and picklable."""
+    """A trigram character model and a lexicon of evidence, learned from rows in memory or (``fit``) from counts; picklable."""
 
-    def __init__(self, rows: list[tuple[int, str]], least_contexts: int | None = None, least_ratio: float = 12.0) -> None:
+    def __init__(self, rows: list[tuple[int, str]], least_contexts: int | None = None, least_ratio: float = LEAST_RATIO) -> None:
         self.words: dict[str, float] = {}
         self.starts: dict[str, float] = {}
-        trigrams: Counter = Counter()
         size = Counter(y for y, _ in rows)
-        least_contexts = least_contexts or min(16, max(6, size[1] // 60))
+        least_contexts = least_contexts or least_contexts_of(size[1])
         held: dict[int, Counter] = {0: Counter(), 1: Counter()}  # documents of a class that hold a feature
         around: dict[tuple, set] = defaultdict(set)
         variants: dict[tuple, Counter] = defaultdict(Counter)
+        met: Counter = Counter()
         for y, text in sorted(rows):
-            tokens = [t.strip(EDGE) for t in text.lower().split()]
-            tokens = [t for t in tokens if t]
-            for t, n in Counter(tokens).items():
-                if t.isalpha():
-                    padded = "^^" + t + "~"
-                    for i in range(2, len(padded)):
-                        trigrams[padded[i - 2 : i + 1]] += n
+            tokens = tokens_of(text)
+            met.update(tokens)
             seen = set()
             for i, t in enumerate(tokens):
                 mine = [("w", t), *(("s", t[:n]) for n in BEGINNINGS if len(t) >= n)]
@@ -87,6 +103,16 @@ class Model:
                     self.words[f[1]] = math.log(ratio)
                 elif len(variants[f]) >= 4 and variants[f].most_common(1)[0][1] < 0.5 * sum(variants[f].values()):
                     self.starts[f[1]] = math.log(ratio)
+        self._prices(trigrams_of(met))
+
+    @classmethod
+    def of(cls, words: dict[str, float], starts: dict[str, float], trigrams: Counter) -> Model:
+        made = cls.__new__(cls)
+        made.words, made.starts = words, starts
+        made._prices(trigrams)
+        return made
+
+    def _prices(self, trigrams: Counter) -> None:
         context: Counter = Counter()
         for g, n in trigrams.items():
             context[g[:2]] += n
@@ -189,15 +215,112 @@ class Model:
         return 1 / (1 + math.exp(-min(35.0, evidence - 2.2)))
 
 
-def fit(sampled: DataFrame) -> Model:
-    """Learn in one task from the bounded sample; the model comes back pickled."""
+class _Toxic:
+    """What some toxic documents add to the counts of words ("w") and beginnings ("s")."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, Counter] = {"w": Counter(), "s": Counter()}  # documents that hold it
+        self.tokens: Counter = Counter()
+        self.around: dict[str, dict[str, set]] = {"w": defaultdict(set), "s": defaultdict(set)}  # up to MOST_CONTEXTS neighbourhoods
+
+    def add(self, tokens: list[str]) -> None:
+        words = set(tokens)
+        self.tokens.update(tokens)
+        self.held["w"].update(words)
+        self.held["s"].update({t[:n] for n in BEGINNINGS for t in words if len(t) >= n})
+        around, around_start = self.around["w"], self.around["s"]
+        for before, t, after in zip(["", *tokens], tokens, [*tokens[1:], ""], strict=False):
+            for places in (around[t], *(around_start[t[:n]] for n in BEGINNINGS if len(t) >= n)):
+                if len(places) < MOST_CONTEXTS:
+                    places.add(before + " " + after)
+
+    def rows(self) -> list[tuple]:
+        found = []
+        for kind, held in self.held.items():
+            for f, n in held.items():
+                places = self.around[kind][f]
+                many = len(places) >= MOST_CONTEXTS  # enough by themselves
+                found.append((kind, f, n, self.tokens[f] if kind == "w" else 0, many, None if many else list(places)))
+        return found
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * 6
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "key", "yes", "n", "many", "places"])
+
+
+def _count(batches):
+    """Trigrams ("t") of all documents, words and beginnings of the toxic ones; rows of a key sum up."""
+    toxic, met, trigrams = _Toxic(), Counter(), Counter()
+    for batch in batches:
+        for y, text in zip(batch.column("y"), batch.column("text"), strict=True):
+            tokens = tokens_of(text.as_py() or "")
+            met.update(tokens)
+            if y.as_py():
+                toxic.add(tokens)
+            if len(toxic.held["w"]) + len(toxic.held["s"]) >= COUNTED:
+                yield _batch(toxic.rows())
+                toxic = _Toxic()
+            if len(met) >= COUNTED:
+                trigrams.update(trigrams_of(met))
+                met = Counter()
+    trigrams.update(trigrams_of(met))
+    yield _batch(toxic.rows() + [("t", g, 0, n, False, None) for g, n in trigrams.items()])
+
+
+def _others(marks):
+    """Documents that are not toxic and hold a mark."""
 
     def run(batches):
-        rows = [(y, t) for batch in batches for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(rows))], pa.binary())], names=["model"])
+        words, starts = (marks.value[kind].keys() for kind in "ws")
+        held: dict[str, Counter] = {"w": Counter(), "s": Counter()}
+        for batch in batches:
+            for text in batch.column("text"):
+                tokens = set(tokens_of(text.as_py() or ""))
+                held["w"].update(tokens & words)
+                held["s"].update({t[:n] for n in BEGINNINGS for t in tokens} & starts)
+        rows = [(kind, f, n) for kind in "ws" for f, n in held[kind].items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "key", "no"])
+
+    return trimmed(run)
+
+
+def fit(known: DataFrame, least_contexts: int | None = None, least_ratio: float = LEAST_RATIO) -> Model:
+    """The model of all (y, text) rows, equal to ``Model`` over them: counts are taken in every task and summed by key.
+
+    Words and beginnings with enough neighbourhoods in toxic documents, and enough of them to reach
+    the ratio if no other document held them, are sought in the others. The driver gets these, a part
+    of the vocabulary, and the character trigrams, but no documents. Neighbourhoods are told apart
+    up to MOST_CONTEXTS in a task, where they suffice, so a row of the sums holds fewer a task.
+    """
+    known = materialize(known.select("y", "text"), "labelled")
+    size = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    least = least_contexts or least_contexts_of(size.get(1, 0))
+    if least > MOST_CONTEXTS:
+        raise ValueError(f"least_contexts is {MOST_CONTEXTS} at most")
+    if not size:
+        return Model([])
+    parts = known.mapInArrow(trimmed(_count), "kind string, key string, yes long, n long, many boolean, places array<string>")
+    sums = parts.groupBy("kind", "key").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n"), F.max("many").alias("many"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    sums = materialize(sums, "toxic_counts")
+    trigrams = Counter({r["key"]: r["n"] for r in sums.where("kind = 't'").select("key", "n").collect()})
+    if min(size.get(0, 0), size.get(1, 0)) == 0:
+        return Model.of({}, {}, trigrams)
+
+    def ratio(yes, no):
+        return ((yes + 0.5) / (size[1] + 1)) / ((no + 0.5) / (size[0] + 1))
 
-    got = sampled.repartition(1).mapInArrow(run, "model binary").first()
-    return pickle.loads(got["model"]) if got else Model([])
+    able = sums.where((F.col("many") | (F.col("places") >= least)) & (ratio(F.col("yes"), F.lit(0)) >= least_ratio))
+    beginnings = F.explode(F.array(*(F.when(F.char_length("key") >= n, F.substring("key", 1, n)) for n in BEGINNINGS)))
+    shared = sums.where("kind = 'w'").select(beginnings.alias("key"), "n").where("key IS NOT NULL").groupBy("key").agg(F.count("n").alias("words"), F.max("n").alias("top"), F.sum("n").alias("total"))
+    starts = able.where("kind = 's'").join(shared.where("words >= 4 AND top < 0.5 * total"), "key", "left_semi")
+    held = [{r["key"]: r["yes"] for r in sorted(x.select("key", "yes").collect())} for x in (able.where("kind = 'w'"), starts)]
+    shared_marks = known.sparkSession.sparkContext.broadcast(dict(zip("ws", held, strict=True)))
+    others = known.where("y = 0").select("text").mapInArrow(_others(shared_marks), "kind string, key string, no long").groupBy("kind", "key").agg(F.sum("no").alias("no"))
+    no = Counter({(r["kind"], r["key"]): r["no"] for r in others.collect()})
+    found = [{f: math.log(r) for f, yes in some.items() if (r := ratio(yes, no[kind, f])) >= least_ratio} for kind, some in zip("ws", held, strict=True)]
+    return Model.of(*found, trigrams)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", with_text: bool = True) -> DataFrame:
