@@ -16,7 +16,7 @@ nodes at that depth are the repeats.
   with two leaves or more marks its leaves as repeated; a longer repeat is a chain of such nodes.
 * Groups above ``part_rows`` rows (a passage that a large share of all documents holds) get the
   longest prefix, the whole window: their nodes are (group, 128-bit hash of the window's words) keys
-  counted with map-side combining, so no task holds a hot node's leaves. Nodes with one leaf give it
+  counted where the leaves are read and then with map-side combining, so no task holds a hot node's leaves. Nodes with one leaf give it
   back; every other leaf of the group repeats, so that leaves need not meet their nodes again.
 
 Exact copies are folded first (one text and a count, told apart by 128 bits), which also folds
@@ -192,23 +192,31 @@ def _all_marked(window: int):
     return trimmed(run)
 
 
-def _leaves(window: int):
-    """A row per suffix with the 128-bit hash of its window's words."""
+def _leaves(window: int, most: int = 1 << 17):
+    """A row per node met (a group, the 128-bit hash of a window's words) with one of its leaves; ``w`` is 2 if it is not the only one.
+
+    Leaves are counted as they are read, up to ``most`` nodes at once, so that the copies of a hot
+    passage within a task are one row.
+    """
+
+    def rows(met: dict) -> pa.RecordBatch:
+        columns = zip(*((part, *leaf, path) for (part, path), leaf in met.items()), strict=True)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "k1", "k2", "start", "w", "path"])
 
     def run(batches):
+        met: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
         for batch in batches:
-            source, start, path = [], [], []
-            for i, (begin, text) in enumerate(zip(batch.column("start").to_pylist(), batch.column("words").to_pylist(), strict=True)):
+            for part, k1, k2, begin, w, text in zip(*(batch.column(c).to_pylist() for c in ("part", "k1", "k2", "start", "w", "words")), strict=True):
                 words = text.split()
                 for j in range(len(words) - window + 1):
-                    source.append(i)
-                    start.append(begin + j)
-                    path.append(hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest())
-            at = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(at) for c in ("part", "k1", "k2")), pa.array(start, pa.int32()), batch.column("w").take(at), pa.array(path, pa.binary())],
-                names=["part", "k1", "k2", "start", "w", "path"],
-            )
+                    node = part, hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest()
+                    met[node] = (k1, k2, begin + j, 2 if node in met else w)
+                if len(met) >= most:
+                    yield rows(met)
+                    met = {}
+        if met:
+            yield rows(met)
 
     return trimmed(run)
 
