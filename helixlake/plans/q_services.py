@@ -11,10 +11,11 @@ from helixlake.operators import alignment as al
 from helixlake.operators import intervals as iv
 from helixlake.operators import vectors as vx
 from helixlake.operators import windows as wn
+from helixlake.operators.graphs import _cut
 from helixlake.plans.catalog import query
 from helixlake.plans.domain import blocks, chain, exons, signal, table, tx, views
 from helixlake.plans.q_scalar import _SEQ, _seq
-from helixlake.plans.q_vectors import _cells
+from helixlake.plans.q_vectors import _cells, _cells_of, _sides
 from helixlake.sources import readers, writers
 from helixlake.streaming import monitor
 
@@ -205,8 +206,11 @@ def crossers(spark, d):
 
 @query("aln8_rows_with_fallback")
 def rows_with_fallback(spark, d):
-    c = _cells(spark, d).withColumn("mmd", F.col("mmd") / 40)
-    return al.with_fallback(al.align(c, "label"), al.best_diagonal(c, "label", 3), "label").withColumn("mmd", F.round("mmd", 6))
+    e = table(spark, d, "embeddings")
+    paths = _cut(al.align_vectors(*_sides(e), "label", (20.0, 40.0)))
+    bare = e.join(paths.select("label"), "label", "left_anti")  # only these need a diagonal
+    diagonals = al.best_diagonal(_cells_of(bare).withColumn("mmd", F.col("mmd") / 40), "label", 3)
+    return al.with_fallback(paths, diagonals, "label").withColumn("mmd", F.round("mmd", 6))
 
 
 @query("stm1_micro_batches", "SELECT doc_id, length(text)::BIGINT AS n FROM documents")
